@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from foliomill.llm import mixing, quality_rules, url_rules
+from foliomill.llm import mixing, quality_rules, sharding, url_rules, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_sharding": sharding.op2_sharding,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_url_rules": url_rules.OP10_SQL,
