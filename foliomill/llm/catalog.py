@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from foliomill.llm import mixing, quality_rules, sharding, url_rules, warc
+from foliomill.llm import mixing, packing, quality_rules, sharding, url_rules, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_sharding": sharding.op2_sharding,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op6_vector_search": vector_search.op6_vector_search,
+    "op7_packing": packing.op7_packing,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
@@ -16,5 +18,6 @@ ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_vector_search": vector_search.OP6_SQL,
     "op10_url_rules": url_rules.OP10_SQL,
 }
