@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm import mixing, packing, quality_rules, sharding, url_rules, vector_search, warc
+from foliomill.llm import license_scan, mixing, packing, personal_data, quality_rules, sharding, url_rules, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_vector_search": vector_search.op6_vector_search,
     "op7_packing": packing.op7_packing,
+    "op8_personal_data": personal_data.op8_personal_data,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
