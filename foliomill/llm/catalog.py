@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliomill.llm import license_scan, mixing, packing, personal_data, quality_rules, sharding, url_rules, vector_search, warc
+from foliomill.llm import jaccard_join, license_scan, mixing, packing, personal_data, quality_rules, sharding, url_rules, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_sharding": sharding.op2_sharding,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_vector_search": vector_search.op6_vector_search,
     "op7_packing": packing.op7_packing,

@@ -63,3 +63,22 @@ def ranked(df: DataFrame, classes: list[str], order: list[str], rank: str, rows:
     counts = counts.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
     inside = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return df.withColumn(rank, F.row_number().over(inside) - 1).join(counts, keys).withColumn(rank, (F.col(base) + F.col(rank)).cast("long")).drop(base, part)
+
+
+#: A key that more than one in so many rows has is hot. At most so many keys can be hot, whatever the size of the table.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, values: list[str]) -> DataFrame:
+    """``rows`` with ``values`` of ``table`` (unique ``key``; ``count``: how many of the ``total`` rows have it); inner join.
+
+    Keys of more than one in HOT_SHARE rows, at most HOT_SHARE of them by counting, are broadcast; the rows of the others
+    are joined by a shuffle in which no key is hot.
+    """
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    hit = fresh(rows, "_hot")
+    few = table.where(hot).select(key, F.struct(*values).alias(hit))
+    marked = rows.join(F.broadcast(few), key, "left")
+    done = marked.where(F.col(hit).isNotNull()).select(*rows.columns, *[F.col(f"{hit}.{v}").alias(v) for v in values])
+    rest = marked.where(F.col(hit).isNull()).select(*rows.columns).join(table.where(~hot).select(key, *values), key)
+    return done.unionByName(rest.select(*done.columns))
