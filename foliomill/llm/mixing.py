@@ -45,11 +45,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return df.select("source", "source_size", "target")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = 4096) -> DataFrame:
-    """(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken, and the text's MD5 as text_key."""
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, buckets: int = 4096, whole: bool = False) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken, and the text's MD5 as text_key; ``whole``: and the row as a struct."""
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text_key"))), 1, 12), 16, 10)
-    df = docs.select("doc_id", "source", F.size(words_of("text")).cast("long").alias("size"), digest.alias("text_key"))
+    df = docs.select("doc_id", "source", F.size(words_of("text")).cast("long").alias("size"), digest.alias("text_key"), *[F.struct(*docs.columns).alias("whole")] * whole)
     df = stored(df.withColumn("u", (unit.cast("double") + 0.5) / F.lit(float(1 << 48))), "mix")
     root = F.sqrt(F.sqrt(F.col("size").cast("double")))
     tilt = F.floor(root * 1024).cast("long")
@@ -57,12 +57,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     plan = targets(sums.select("source", "source_size"), weights, most)
     plan = plan.alias("a").join(sums.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.tilted")
     # Copies that are certain, words that lack, and their share of the source.
-    plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = plan.withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
     plan = plan.withColumn("p0", F.when(F.col("tilted") > 0, F.col("rest") / F.col("tilted")).otherwise(0.0)).withColumn("r", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
     plan = stored(plan.drop("tilted"), "mix-plan")  # a row a source
     df = df.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    df = df.select("d.doc_id", "d.source", "d.size", "d.text_key", "d.u", *[f"p.{c}" for c in plan.columns if c != "source"])
+    df = df.select("d.doc_id", "d.source", "d.size", "d.text_key", "d.u", *["d.whole"] * whole, *[f"p.{c}" for c in plan.columns if c != "source"])
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("p0") * tilt))
     # The ranking variable, scaled by the source's own odds into (0, 1) so that equal steps hold like numbers of rows.
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
@@ -85,8 +85,14 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     # A document is in if with it the words come nearer the rest than without.
     edge = edge.withColumn("extra", F.when(up_to - F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0))
     calm = df.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.coalesce(sure, F.lit(False)), 1).otherwise(0))
-    out = calm.unionByName(edge).withColumn("copies", F.when(drawn, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_key")
+    out = calm.unionByName(edge).withColumn("copies", F.when(drawn, F.col("certain") + F.col("extra")).otherwise(F.lit(0)).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_key", *["whole"] * whole)
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs``, with its columns, each as often as it is taken."""
+    taken = mixed(docs, weights, most, seed, whole=True).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "whole").select("whole.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

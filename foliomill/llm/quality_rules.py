@@ -102,7 +102,9 @@ def _qualified(sql: str, names: dict[str, str]) -> str:
 def kept(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns."""
     df, q = judged(docs, text, thresholds)
-    return df.where(F.col(f"{q}.kept")).select(*docs.columns)
+    # A column that isn't deterministic keeps the filter above the projection; pushed below, it would compute all ratios anew for each use.
+    row = fresh(df, "_row")
+    return df.withColumn(row, F.monotonically_increasing_id()).where(F.col(f"{q}.kept") & (F.col(row) >= 0)).select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
