@@ -18,14 +18,14 @@ that length; ranks come by parts (``shared.ranked``), so no length is gathered i
 
 from __future__ import annotations
 
-import unicodedata
+import functools
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,35 +41,115 @@ SMALL = (2, 4, 3)
 # Tokens
 
 
-class Encoder:
-    """Ids of texts, equal to the library's. Texts of letters up to U+017F without its special strings go word by word through a cache."""
+def _table(of) -> np.ndarray:
+    return np.array([of(c) for c in range(256)], dtype=np.uint8)
 
-    #: Composed, and lower-cased alike by all libraries; white space is the plain one.
-    EASY = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ]*")
-    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    CACHE = 300_000
 
-    def __init__(self, path: str):
-        import os
+class Encoder:
+    """Ids of texts, equal to the library's.
+
+    Plain texts (ASCII and Latin-1 letters, no apostrophe, none of the library's special strings) are cut into words by
+    classes of bytes, many texts at once; each distinct word, known by a 64-bit hash, is encoded once and remembered.
+    Other texts go to the library.
+    """
+
+    SPACE, LETTER, DIGIT, MARK = range(4)
+    #: Classes of bytes; 0xC3 and what follows it is a letter (but for the two signs among Latin-1's letters).
+    CLASS = _table(lambda c: 0 if c in b"\t\n\r " else 2 if 48 <= c <= 57 else 1 if chr(c).isalpha() and c < 128 or c >= 128 else 3)
+    LOWER = _table(lambda c: c + 32 if 65 <= c <= 90 else c)
+    #: Bytes of texts that aren't plain, whatever stands beside them.
+    ODD = _table(lambda c: c < 32 and c not in b"\t\n\r" or c in (39, 127) or c > 0xC3 or 0xC0 <= c < 0xC3).astype(bool)
+    BASE = 0x9E3779B97F4A7C15
+    #: Words that are remembered; beyond, all are forgotten.
+    CACHE = 400_000
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.EASY.fullmatch(text) or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        cache, found = self.cache, []
-        for word in self.WORD.findall(text.lower()):
-            ids = cache.get(word)
-            if ids is None:
-                if len(cache) >= self.CACHE:
-                    cache.clear()
-                ids = cache[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found += ids
-        return np.array(found, dtype="<u4")
+        # For words that are normalised and cut already: only spaces part them.
+        self.direct = Tokenizer.from_file(path)
+        self.direct.normalizer = None
+        self.direct.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.cache: dict[int, list[int]] = {}
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(words), 1000):
+            ids = np.array(self.direct.encode_batch_fast([" ".join(words[at : at + 1000])], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            assert len(ends) == len(words[at : at + 1000]), "a word of this vocabulary ends in an id of its own"
+            out += [x.tolist() for x in np.split(ids, ends[:-1])]
+        return out
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.BASE, -k, 1 << 64))])
+        return self.up, self.down
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        place = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        low = self.LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        before, after = np.concatenate([[0], low[:-1]]).astype(np.uint8), np.concatenate([low[1:], [0]]).astype(np.uint8)
+        lead, rest = low == 0xC3, (low >= 0x80) & (low < 0xC0)
+        odd = self.ODD[low] | (rest & ((before != 0xC3) | (low == 0x97) | (low == 0xB7))) | ((low == 60) & (after == 124))
+        hard = np.diff(np.concatenate([[0], np.cumsum(odd)])[place]) > 0
+        low = np.where(rest & (before == 0xC3) & (low <= 0x9E), low + 32, low).astype(np.uint8)
+        kind = np.where(lead | rest, self.LETTER, self.CLASS[low])
+        kind[np.repeat(hard, np.diff(place))] = self.SPACE
+        cut = np.zeros(len(low) + 1, dtype=bool)
+        cut[place] = True
+        cut[1:-1] |= (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        own = np.flatnonzero((kind != self.SPACE) & cut[:-1])
+        end = np.flatnonzero((kind != self.SPACE) & cut[1:]) + 1
+        up, down = self._powers(len(low) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)])])
+        h = (sums[end] - sums[own]) * down[own] ^ ((end - own).astype(np.uint64) << np.uint64(48))
+        distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.cache) > self.CACHE:
+            self.cache.clear()
+        keys = distinct.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.cache]
+        data = low.tobytes()
+        words = [data[own[first[i]] : end[first[i]]].decode() for i in new]
+        self.cache.update(zip([keys[i] for i in new], self._encoded(words), strict=True))
+        lists = [self.cache[k] for k in keys]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum()))
+        start, each = (np.cumsum(size) - size)[at], size[at]
+        behind = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+        ids = flat[np.repeat(start - behind[:-1], each) + np.arange(behind[-1])] if len(own) else flat
+        limits = behind[np.searchsorted(own, place)]
+        out = [ids[s:e] for s, e in zip(limits[:-1], limits[1:], strict=True)]
+        for i in np.flatnonzero(hard):
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker."""
+    return Encoder(path)
+
+
+def _runs(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters (a longer text is a range of its own)."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -77,20 +157,21 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for low, high in _runs(texts):
+                some = batch.slice(low, high - low)
                 take, piece, start, length, crc = [], [], [], [], []
-                for i, text in enumerate(some.column(1)):
-                    ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+                for i, own in enumerate(encode(texts[low:high])):
+                    ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                     for k, s in enumerate(range(0, len(ids), capacity)):
-                        own = ids[s : s + capacity]
+                        part = ids[s : s + capacity]
                         take.append(i)
                         piece.append(k)
                         start.append(s)
-                        length.append(len(own))
-                        crc.append(zlib.crc32(own.tobytes()))
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
