@@ -80,8 +80,12 @@ def index(urls: DataFrame, tokens: str, rules: list[Rule]) -> dict[str | None, l
     known = sorted({t for r in rules for t in r.literals})
     seen: dict[str, int] = {}
     if known:
-        wanted = urls.sparkSession.createDataFrame([(t,) for t in known], "token string")
-        counts = urls.select(F.explode(tokens).alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
+        counts = urls.select(F.explode(tokens).alias("token"))
+        if len(known) <= 4 * INLINE_RULES:
+            counts = counts.where(F.col("token").isin(known))
+        counts = counts.groupBy("token").count()
+        if len(known) > 4 * INLINE_RULES:
+            counts = counts.join(urls.sparkSession.createDataFrame([(t,) for t in known], "token string"), "token", "left_semi")
         seen = {r["token"]: r["count"] for r in counts.collect()}
     by: dict[str | None, list[Rule]] = {}
     for r in rules:
