@@ -1,9 +1,106 @@
-"""All queries of the engine by name, with equivalent SQL for DuckDB."""
+"""The engine's queries by name. Each is one declarative statement over the corpus; Spark and DuckDB run the same text,
+but for the spellings in ``_SPARK``, so that the optimiser of either plans it as it likes."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from foliomill.functions import text as T
+from foliomill.plans.corpus import BASE
+
 FLAGSHIP = "wf_field_accuracy"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+#: Statements over the corpus' tables (truth, lines, found, judged, conf, runs) and the given ones, in common SQL.
+STATEMENTS = {
+    # Evaluation
+    "wf_field_accuracy": "SELECT field, count(ok) AS n, isum(CASE WHEN ok THEN 1 ELSE 0 END) AS n_correct, round(avg(CASE WHEN ok THEN 1.0e0 WHEN NOT ok THEN 0.0e0 END), 6) AS accuracy, round(1 - avg(CASE WHEN ok THEN 1.0e0 WHEN NOT ok THEN 0.0e0 END), 6) AS error_rate FROM judged GROUP BY field",
+    "dla_variants": "SELECT count(*) AS docs, isum(all_ok) AS docs_right, round(avg(all_ok * 1.0e0), 6) AS dla, round(sum(CASE WHEN n > 3 THEN all_ok ELSE 0 END) * 1.0e0 / sum(CASE WHEN n > 3 THEN 1 ELSE 0 END), 6) AS dla_labelled FROM (SELECT doc_id, min(CASE WHEN ok = false THEN 0 ELSE 1 END) AS all_ok, count(ok) AS n FROM judged GROUP BY doc_id) d",
+    "doc_confidence": "SELECT doc_id, confidence, confidence < 0.75e0 AS review_required FROM conf",
+    "failure_cases": "SELECT c.doc_id, c.confidence, isum(CASE WHEN j.ok = false THEN 1 ELSE 0 END) AS n_wrong FROM conf c JOIN judged j ON c.doc_id = j.doc_id GROUP BY c.doc_id, c.confidence HAVING sum(CASE WHEN j.ok = false THEN 1 ELSE 0 END) > 0",
+    "error_clusters": "SELECT cluster, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT t.doc_id, CASE WHEN f.cost IS NULL OR f.cost = 0 THEN 'price' WHEN t.dealer IS NOT NULL AND f.dealer IS NULL THEN 'dealer' WHEN t.model IS NOT NULL AND f.model IS NULL THEN 'model' WHEN f.hp IS NULL THEN 'layout' ELSE 'other' END AS cluster FROM truth t JOIN found f ON t.doc_id = f.doc_id) c GROUP BY cluster",
+    "threshold_sweep": "SELECT threshold, tp, fp, fn, tn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp * 1.0e0 / (tp + fp) END, 6) AS prec, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp * 1.0e0 / (tp + fn) END, 6) AS recall FROM (SELECT th.k / 100.0e0 AS threshold, isum(CASE WHEN confidence >= th.k / 100.0e0 AND ok = 1 THEN 1 ELSE 0 END) AS tp, isum(CASE WHEN confidence >= th.k / 100.0e0 AND ok = 0 THEN 1 ELSE 0 END) AS fp, isum(CASE WHEN confidence < th.k / 100.0e0 AND ok = 1 THEN 1 ELSE 0 END) AS fn, isum(CASE WHEN confidence < th.k / 100.0e0 AND ok = 0 THEN 1 ELSE 0 END) AS tn FROM (SELECT c.confidence, d.ok FROM conf c JOIN (SELECT doc_id, min(CASE WHEN ok = false THEN 0 ELSE 1 END) AS ok FROM judged GROUP BY doc_id) d ON c.doc_id = d.doc_id) x CROSS JOIN (SELECT 40 + row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part WHERE p_partkey <= 56) th GROUP BY th.k) s",
+    "whitelist_violations": "SELECT f.doc_id, f.dealer FROM found f LEFT JOIN (SELECT s_name FROM supplier WHERE s_suppkey % 5 <> 0) w ON f.dealer = w.s_name WHERE w.s_name IS NULL AND f.dealer IS NOT NULL",
+    "range_checks": "SELECT doc_id, CASE WHEN hp IS NULL THEN 'hp_missing' WHEN hp < 20 THEN 'hp_low' ELSE 'hp_ok' END AS hp_check, CASE WHEN cost IS NULL THEN 'cost_missing' WHEN cost < 10000 THEN 'cost_low' ELSE 'cost_ok' END AS cost_check FROM found",
+    "presence_flags": "SELECT doc_id, stamp, signature FROM found",
+    "labels_semi": "SELECT t.doc_id, t.dealer FROM truth t WHERE t.doc_id IN (SELECT doc_id FROM judged WHERE ok = false)",
+    "regression_gate": "SELECT b.doc_id, CASE WHEN b.dealer IS DISTINCT FROM a.dealer THEN 'dealer' WHEN a.confidence < b.confidence - 0.05e0 THEN 'confidence_drop' ELSE 'new_review' END AS issue FROM conf b JOIN (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE dealer END AS dealer, confidence - CASE WHEN doc_id % 10 = 0 THEN 0.2e0 ELSE 0.0e0 END AS confidence FROM conf) a ON b.doc_id = a.doc_id WHERE b.dealer IS DISTINCT FROM a.dealer OR a.confidence < b.confidence - 0.05e0 OR (a.confidence < 0.75e0 AND b.confidence >= 0.75e0)",
+    "robustness": "SELECT kind, count(*) AS n, round(avg(m), 6) AS match_rate FROM (SELECT v.kind, CASE WHEN abs(f.cost - (f.cost + v.k * (f.doc_id % 5))) <= 2 THEN 1.0e0 ELSE 0.0e0 END AS m FROM found f CROSS JOIN (SELECT 'rotate' AS kind, 1 AS k UNION ALL SELECT 'blur', 2 UNION ALL SELECT 'jpeg', 0) v WHERE f.cost IS NOT NULL) x GROUP BY kind",
+    "replay_gain": "SELECT doc_id, base, best, round(best - base, 6) AS gain FROM (SELECT c.doc_id, c.confidence AS base, max(c.confidence + a.k * (c.doc_id % 7) / 100.0e0) AS best FROM conf c CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT -1) a WHERE c.confidence < 0.75e0 GROUP BY c.doc_id, c.confidence) x WHERE best > base",
+    # Extraction
+    "hp_argmax": "SELECT doc_id, line_no, text FROM (SELECT doc_id, line_no, text, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, line_no) AS rn FROM lines WHERE regexp_extract(text, '([0-9]{1,3}) *(H[.]P|HP)', 1) <> '') x WHERE rn = 1",
+    "asset_cost_rank": "SELECT doc_id, value, score FROM (SELECT doc_id, value, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, value DESC, line_no) AS rn FROM (SELECT doc_id, line_no, cast(concat('0', regexp_extract(text, '([0-9]+)$', 1)) AS BIGINT) AS value, CASE WHEN regexp_extract(lower(text), '(total|amount)', 1) <> '' THEN 0.92e0 ELSE 0.65e0 END AS score FROM lines WHERE line_no >= 4 AND regexp_extract(text, '^Ph', 0) = '' AND length(regexp_extract(text, '([0-9]+)$', 1)) BETWEEN 4 AND 9) s) r WHERE rn = 1",
+    "model_first_match": "SELECT doc_id, master FROM (SELECT l.doc_id, m.master, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.line_no, m.master) AS rn FROM lines l JOIN (SELECT DISTINCT concat(p_brand, ' ', p_type, ' ', cast(p_size AS VARCHAR(9))) AS master, p_brand FROM part WHERE p_partkey <= 50) m ON l.line_no = 2 AND position(lower(m.master) IN lower(l.text)) > 0) x WHERE rn = 1",
+    "page_first_last": "SELECT conv_id, turn, first_value(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS first_page, max(turn) OVER (PARTITION BY conv_id) AS last_page FROM conversations",
+    "table_continuation": "SELECT conv_id, turn, has_table, max(has_table) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near_table FROM (SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN 1 ELSE 0 END AS has_table FROM conversations) c",
+    "region_bands": "SELECT region, count(*) AS n_lines, min(y1) AS y1, max(y1 + 12) AS y2 FROM (SELECT y1, CASE WHEN y1 + 12 <= 151 THEN 'header' WHEN y1 >= 690 THEN 'footer' ELSE 'body' END AS region FROM (SELECT 60 + 8 * line_no AS y1 FROM lines) a) b GROUP BY region",
+    "numeric_dense_lines": "SELECT doc_id, line_no, cast(length(text) AS BIGINT) AS n, cast(length(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS digits FROM lines WHERE length(text) >= 6 AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.25e0 * length(text)",
+    "iou_pairs": "SELECT a_id, b_id, round(i * 1.0e0 / (400 + 600 - i), 6) AS iou FROM (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, greatest(0, least(a.p_size + 20, b.p_size + 30) - greatest(a.p_size, b.p_size)) * 20 AS i FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey) x",
+    # Run logs
+    "latency_p95": "SELECT stage, max(CASE WHEN rn = cast(round_even_idx AS BIGINT) + 1 THEN latency END) AS p95_round, max(CASE WHEN rn = cast(floor(0.95e0 * (n - 1)) AS BIGINT) + 1 THEN latency END) AS p95_floor FROM (SELECT stage, latency, row_number() OVER (PARTITION BY stage ORDER BY latency) AS rn, n, ROUND_EVEN(0.95e0 * (n - 1)) AS round_even_idx FROM (SELECT stage, latency, count(*) OVER (PARTITION BY stage) AS n FROM runs) r) x GROUP BY stage",
+    "latency_hist": "SELECT stage, bin, count(*) AS n FROM (SELECT r.stage, cast(floor((r.latency - m.lo) / (m.hi - m.lo) * 19) AS BIGINT) AS bin FROM runs r JOIN (SELECT stage, min(latency) AS lo, max(latency) AS hi FROM runs GROUP BY stage) m ON r.stage = m.stage WHERE m.hi > m.lo) x GROUP BY stage, bin",
+    "latency_stats": "SELECT stage, count(*) AS n, round(avg(latency), 6) AS mean, min(latency) AS low, max(latency) AS high, round(median(latency), 6) AS mid FROM runs GROUP BY stage",
+    "cost_breakdown": "SELECT doc_id, round(cost_usd, 6) AS total, round(0.0002e0, 6) AS overhead, round(0.0006e0 * pages, 6) AS ocr, cost_usd <= 0.01e0 AS within_budget FROM runs",
+    "failure_categories": "SELECT category, count(*) AS n FROM (SELECT CASE WHEN latency > 80 THEN 'Validation' WHEN failures > 12 THEN 'OCR' WHEN conf < 0.55e0 THEN 'OCR' WHEN pages = 3 THEN 'Layout' WHEN failures = 0 THEN 'Extraction' ELSE 'OK' END AS category FROM runs) x GROUP BY category",
+    "stage_log_fold": "SELECT user_id, stage, latency FROM (SELECT user_id, stage, latency, row_number() OVER (PARTITION BY user_id, stage ORDER BY ts DESC, doc_id DESC) AS rn FROM runs) x WHERE rn = 1",
+    "field_proxy": "SELECT stage, round(avg(CASE WHEN failures = 0 THEN 0.0e0 ELSE 1.0e0 END), 6) AS present_rate, round(avg(CASE WHEN failures > 0 AND conf >= 0.75e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS sure_rate, round(avg(conf), 6) AS mean_conf FROM runs GROUP BY stage",
+    "latency_guard": "SELECT user_id, doc_id, latency, sum(latency) OVER (PARTITION BY user_id ORDER BY ts, doc_id ROWS UNBOUNDED PRECEDING) <= 200 AS within FROM (SELECT user_id, doc_id, ts, cast(floor(latency) AS BIGINT) AS latency FROM runs) r",
+    "judge_gate": "SELECT stage, isum(CASE WHEN latency <= 30 AND cost_usd < 0.01e0 THEN 1 ELSE 0 END) AS passed, count(*) AS tested FROM runs GROUP BY stage",
+    "ocr_attempt_pick": "SELECT user_id, doc_id, conf, pages FROM (SELECT user_id, doc_id, conf, pages, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN conf >= 0.70e0 AND pages >= 2 THEN 0 ELSE 1 END, CASE WHEN conf >= 0.70e0 AND pages >= 2 THEN doc_id END, conf DESC, pages DESC, doc_id) AS rn FROM runs) x WHERE rn = 1",
+    "heatmap": "SELECT gy, gx, count(*) AS n FROM (SELECT least(7, cast(floor(latency / 100 * 8) AS BIGINT)) AS gx, least(7, doc_id % 10) AS gy FROM runs) x GROUP BY gy, gx",
+    # Selection
+    "grid_trials": "SELECT count(*) AS n, isum(a.k * b.k * c.k) AS checksum FROM (SELECT p_partkey AS k FROM part WHERE p_partkey <= 5) a CROSS JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey <= 5) b CROSS JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey <= 36) c",
+    "leaderboard_topk": "SELECT rank, doc_id, score FROM (SELECT doc_id, score, cast(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM (SELECT doc_id, round(0.7e0 * conf + 0.2e0 * greatest(0, least(1, 1 - latency / 100)) + 0.1e0 * greatest(0, least(1, 1 - cost_usd / 0.01e0)), 6) AS score FROM runs) s) r WHERE rank <= 10",
+    "select_config": "SELECT doc_id, CASE WHEN feasible = 0 THEN 'meets_constraints' ELSE 'no_trial_met_constraints' END AS reason FROM (SELECT doc_id, feasible, row_number() OVER (ORDER BY feasible, conf DESC, doc_id) AS rn FROM (SELECT doc_id, conf, CASE WHEN conf >= 0.9e0 AND latency <= 30 AND cost_usd <= 0.01e0 THEN 0 ELSE 1 END AS feasible FROM runs) r) x WHERE rn = 1",
+    # Texts
+    "keyword_freq": "SELECT word, n FROM (SELECT 'the' AS word, sum((length(t) - length(replace(t, 'the', ''))) / 3) AS n FROM d UNION ALL SELECT 'total', sum((length(t) - length(replace(t, 'total', ''))) / 5) FROM d UNION ALL SELECT 'tion', sum((length(t) - length(replace(t, 'tion', ''))) / 4) FROM d) x",
+    "lang_counts": "SELECT lang, count(*) AS n, isum(n_chars) AS chars FROM documents GROUP BY lang",
+    "label_agreement": "SELECT d.lang, count(*) AS n, isum(l.quality) AS good, isum(l.toxic) AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang",
+    "unlabelled_docs": "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL",
+    "dataset_profile": "SELECT count(*) AS docs, round(avg(CASE WHEN n_chars < 500 THEN 1.0e0 ELSE 0.0e0 END), 6) AS short_rate, round(median(n_chars), 6) AS mid, CASE WHEN avg(CASE WHEN n_chars < 500 THEN 1.0e0 ELSE 0.0e0 END) >= 0.45e0 THEN 2.0e0 WHEN avg(CASE WHEN n_chars < 500 THEN 1.0e0 ELSE 0.0e0 END) >= 0.2e0 THEN 1.5e0 ELSE 1.0e0 END AS upscale FROM documents",
+    "sample_md5": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('7|', cast(doc_id AS VARCHAR(20)))), doc_id) AS rn FROM documents) x WHERE rn <= 50",
+}
+
+#: Spellings that differ: (pattern, Spark, DuckDB).
+_SPARK = [(r"VARCHAR\(\d+\)", "STRING", "VARCHAR"), (r"ROUND_EVEN\(", "bround(", "round_even_("), (r", 'g'\)", ")", ", 'g')")]
+
+
+def _whole_sums(sql: str) -> str:
+    """isum(x): a sum of whole numbers as a BIGINT."""
+    while (at := sql.find("isum(")) >= 0:
+        depth, end = 1, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}cast(sum({sql[at + 5 : end - 1]}) AS BIGINT){sql[end:]}"
+    return sql
+
+
+def _statement(name: str, spark: bool) -> str:
+    own = STATEMENTS[name]
+    base = "WITH d AS (SELECT lower(text) AS t FROM documents) " if " FROM d " in own or own.endswith(" FROM d)") or "FROM d UNION" in own else BASE + " "
+    sql = base + _whole_sums(own)
+    for pattern, here, there in _SPARK:
+        sql = re.sub(pattern, here if spark else there, sql)
+    if not spark:
+        sql = sql.replace("round_even_(0.95e0 * (n - 1))", "round_even(0.95e0 * (n - 1), 0)")
+    return sql
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = _statement(name, True)
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        for t in used:
+            sql = re.sub(rf"(?<=FROM )\b{t}\b|(?<=JOIN )\b{t}\b", "{t_" + t + "}", sql)
+        sql = re.sub(r"\{(?!t_)([^}]*)\}", r"{{\1}}", sql)
+        return spark.sql(sql, **{f"t_{t}": df for t, df in used.items()})
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES
+ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL
