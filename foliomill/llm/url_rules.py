@@ -112,15 +112,17 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
         row = fresh(pages, "_row")
         rows = [(t, r.name, r.action, r.regex) for t, own in by.items() for r in own]
         listed = df.sparkSession.createDataFrame(rows, "token string, name string, action string, regex string")
+        number = fresh(pages, "_number")  # repeated rows stay apart
+        df = df.withColumn(number, F.monotonically_increasing_id())
         df = df.withColumn(row, F.struct(*[F.col(c) for c in df.columns]))
         df = df.select(row, F.explode(F.col(f"{row}.{toks}")).alias("token")).join(listed, "token", "left")
-        df = df.groupBy(row).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "action", "regex"))).alias(cand))
+        df = df.groupBy(row).agg(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "action", "regex"))).alias(cand))
         df = df.select(f"{row}.*", cand).withColumn(cand, F.concat(F.col(cand).cast(f"array<{_RULE}>"), always))
     fits = f"filter(`{cand}`, r -> rlike(concat(host, path), r.regex))"
     rank = f"transform({fits}, r -> named_struct('n', -length(r.name), 'name', r.name, 'action', r.action))"
     df = df.withColumn(best, F.expr(f"array_min({rank})"))
     out = df.withColumn("rule", F.col(f"{best}.name")).withColumn("verdict", F.coalesce(F.col(f"{best}.action"), F.lit(default)))
-    return out.drop(toks, cand, best)
+    return out.drop(toks, cand, best, fresh(pages, "_number"))
 
 
 def _literal(r: Rule):

@@ -1,0 +1,348 @@
+"""The corpus operators on small hand-made tables, against brute force; nulls, empty tables, ties, repeats, extra columns."""
+
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from foliomill.llm import components, jaccard_join, license_scan, mixing, packing, personal_data, quality_rules, sharding, url_rules, vector_search, warc
+from foliomill.llm.shared import shared_dir
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, n_words string, key string"
+RND = random.Random(3)
+VOCAB = ["".join(RND.choice("abcdeéß") for _ in range(RND.randint(2, 7))) for _ in range(400)]
+
+
+def _text(n):
+    return " ".join(RND.choice(VOCAB) for _ in range(n))
+
+
+BASE = _text(120)
+TEXTS = [None, "", " \n\t ", "one", "one two", "One TWO", "one two", BASE, BASE, BASE.upper().replace("É", "é"), BASE + " extra", "more " + BASE, "x" * 5000, "Ünï ΑΣ <|endoftext|> don't", "a.\nb c.\na.\n" * 30, _text(3000)] + [_text(RND.randint(10, 200)) for _ in range(25)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 20 else None, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"src{i % 3}", len(t or ""), "clash", "clash", "clash", "clash") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows + rows[7:9], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# WARC
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/%0A?\r\nx", "<p>é</p>"), (2, None, None), (3, "u", ""), (4, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (5, "u", "z" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
+    for split in (1 << 20, 97):
+        found = {(r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["target_uri"], bytes(r["payload"]) if r["payload"] is not None else None) for r in warc.read(warc.archived(pages, shared_dir(spark, "t")), split).collect()}
+        e = "<p>é</p>".encode()
+        assert found == {("1", "response", None, 9, "http://a/%0A?\r\nx", e), ("2", "response", None, 0, "", b""), ("3", "revisit", "2", 0, "u", None), ("4", "revisit", "1", 9, "u", None), ("", "response", None, 9, "u", e), ("5", "response", None, 200_000, "u", b"z" * 200_000)}
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.archived(none, shared_dir(spark, "t"))).count() == 0
+
+
+def test_warc_inner_archive_is_no_record():
+    rnd = random.Random(1)
+    noise = rnd.randbytes(3000)
+    inner = b"".join(warc.record(f"i{i}", "response", "u", warc.digest(noise), noise) for i in range(3))
+    files = [warc.record(str(i), "response", "u", warc.digest(p), p) for i, p in enumerate([b"a", inner, b"b", inner, b"c", b"d"])]
+    data = b"".join(files)
+    for step in (50, 333, 4000):
+        got = [h["warc-record-id"] for s in range(0, len(data), step) for h, _ in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + step))]
+        assert got == [f"<urn:page:{i}>" for i in range(6)]
+
+
+# Sharding
+
+
+def test_hilbert_is_a_walk():
+    for bits, dims in ((3, 2), (2, 3)):
+        points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+        index = sharding.hilbert(points, bits)
+        assert sorted(index) == list(range(len(points)))
+        assert (np.abs(np.diff(points[np.argsort(index)], axis=0)).sum(1) == 1).all()
+
+
+def test_sharding_by_rows(spark, docs, empty, tmp_path):
+    rows = sharding.sharded(docs, 8).collect()
+    assert len(rows) == len(TEXTS) + 2
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r)
+        if r["doc_id"] is not None:
+            data = (TEXTS[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+    counts = [len(by.get(s, [])) for s in range(8)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(x["slot"] for x in own) == list(range(len(own))) for own in by.values())
+    order = [r["curve"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)
+    assert sharding.sharded(empty, 8).count() == 0
+    sharding.write_shards(docs, 4, f"file://{tmp_path}/s")
+    assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(rows)
+
+
+# Quality rules
+
+
+def _repeats(words):
+    at = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return len({i + k for i in range(len(words) - 7) if at[tuple(words[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_quality_counts(docs, empty):
+    df, q = quality_rules.judged(docs)
+    for r in df.select("text", f"{q}.*").collect():
+        text = r["text"] or ""
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert r["n_words"] == len(words)
+        assert r["word_chars"] == sum(map(len, words))
+        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text))
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_repeat_words"] == _repeats(words)
+        assert r["base_failed"] == (len(words) < 20 or 100 * _repeats(words) > 30 * len(words))
+        assert not (r["kept"] and r["base_failed"])
+    assert quality_rules.kept(docs).columns == docs.columns
+    assert quality_rules.kept(empty).count() == 0
+
+
+# Jaccard join
+
+
+def _sets(texts, words):
+    out = []
+    for t in texts:
+        own = [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        out.append({tuple(own[i : i + words]) for i in range(len(own) - words + 1)} if len(own) >= words else {tuple(own)} if own else set())
+    return out
+
+
+def _components(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("words", "percent", "heavy"), [(3, 90, 16), (5, 80, 2)])
+def test_jaccard_components(spark, empty, monkeypatch, words, percent, heavy):
+    monkeypatch.setattr(jaccard_join, "HEAVY_COUNT", heavy)  # 2: most groups go through the heavy lists
+    monkeypatch.setattr(jaccard_join, "BLOCK_ALL", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SMALL", 4)
+    rnd = random.Random(words)
+    texts = list(TEXTS)
+    for size in (30, 12, 3):
+        base = _text(80).split()
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                own[rnd.randrange(len(own))] = rnd.choice(VOCAB)
+            texts.append(" ".join(own))
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(4)
+    sets = _sets(texts, words)
+    want = _components(sets, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.clustered(df, words, percent).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+    kept = sorted(r["doc_id"] for r in jaccard_join.deduplicated(df, words, percent).collect())
+    assert kept == sorted({i if not sets[i] else want[i] for i in range(len(texts))})
+    assert jaccard_join.clustered(empty, words, percent).count() == 0
+    assert jaccard_join.deduplicated(empty, words, percent).count() == 0
+
+
+def test_chain_of_links(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# Mixing
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.mixed(docs).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mixed(docs.repartition(5)).collect()), key=repr)
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += r["size"]
+        assert r["size"] == len([w for w in re.split("[\x20\x09-\x0d]+", TEXTS[r["doc_id"]] or "") if w]) if r["doc_id"] is not None else True
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, capped = {}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in capped)
+        rest = sum(weight[s] for s in names if s not in capped)
+        target = {s: 3 * size[s] if s in capped else left * weight[s] / rest for s in names}
+        more = {s for s in names if target[s] > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    largest = max(r["size"] for r in rows)
+    for s in names:
+        own = [r for r in rows if r["source"] == s]
+        assert all(abs(r["target"] - target[s]) < 1e-6 and r["source_size"] == size[s] for r in own)
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= largest
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+    mix = mixing.mixture(docs)
+    assert mix.columns == docs.columns and mix.count() == sum(r["copies"] for r in rows)
+    assert mixing.mixed(empty).count() == 0
+
+
+# Vector search
+
+
+def test_top_k_is_exact(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rnd.normal(0, 0.2, 8)]) for i in range(0, 430)] + [(1000 + i, [0.5] * 8) for i in range(20)]
+    rows += [(2000, None), (2100, [0.1, None]), (2200, [float("nan")] * 8), (2300, [float("inf")] * 8), (None, [0.1] * 8), (2400, [0.5, -0.25]), (2500, []), (1000, [0.4] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    fine = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for i, q in fine:
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), c) for c, v in fine if c != i)[:10]
+            want += [(i, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    for block in (1024, 2):
+        got = [tuple(r) for r in vector_search.top_k(df, 10, block=block).collect()]
+        assert sorted(got) == sorted(want)
+    assert vector_search.top_k(df.limit(0), 10).count() == 0
+
+
+# Packing
+
+
+def test_packing(spark, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.packed(packing.pieces(docs, path)).collect()
+    tokenizer = packing.Encoder(path).tokenizer
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[s : s + 2048], dtype="<u4")
+            want[r["doc_id"], k, s, len(own), zlib.crc32(own.tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) <= sum(r["length"] for r in rows) / 2048 * 1.1 + 2
+    assert packing.packed(packing.pieces(empty, path)).count() == 0
+
+
+def test_grouping_scheme_keeps_items():
+    rnd = random.Random(5)
+    for n in (1, 10, 3000):
+        items = Counter(rnd.choice([rnd.randint(1, 2048), rnd.randint(1, 600), 700]) for _ in range(n))
+        for parts in packing.SMALL:
+            runs = packing.grouped(dict(items), parts=parts)
+            assert all(sum(own) <= 2048 for _, own in runs)
+            held = Counter()
+            for k, own in runs:
+                for x in own:
+                    held[x] += k
+            assert held == items
+        least = -(-sum(s * k for s, k in items.items()) // 2048)
+        assert sum(k for k, _ in packing.planned(dict(items))) <= 1.12 * least + 2
+
+
+# Personal data
+
+
+def test_base_spans():
+    text = "a.b@x-y.org, 1.2.3.256 10.0.0.1 4111 1111 1111 1111 +1 (555) 123-4567 @x a@b é1@q.de"
+    spans = {(k, text[s:e]) for k, s, e in personal_data.base_spans(text)}
+    assert spans == {("email", "a.b@x-y.org"), ("email", "1@q.de"), ("ip", "10.0.0.1"), ("phone", "+1 (555) 123-4567")} | {("card", "4111 1111 1111 1111")} & spans
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rnd = random.Random(2)
+    for _ in range(500):
+        t = "".join(rnd.choice("ab@.-_ é%") for _ in range(40))
+        assert [x[1:] for x in personal_data.base_spans(t)] == [m.span() for m in pattern.finditer(t)]
+
+
+def test_field_on_held_out_rows(spark, docs, empty):
+    field = personal_data.Field(*personal_data._trained())
+    right = total = 0
+    for row in personal_data.labelled(150, seed=77):
+        text = " ".join(w for w, _ in row)
+        found = [k for k, _, _ in personal_data.field_spans([text], field)[0] if k == "secret"]
+        total += 1
+        right += len(found) == sum(label == "secret" for _, label in row)
+    assert right / total > 0.95
+    rows = personal_data.found(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r["spans"] == "":
+            assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    text = 'mail me@site.org with token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" please'
+    one = spark.createDataFrame([(1, text, len(text)), (2, None, None)], "doc_id long, text string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in personal_data.redacted(one).orderBy("doc_id").collect()] == [('mail <email> with token = "<secret>" please', 43), (None, None)]
+    assert personal_data.found(empty).count() == 0 and personal_data.redacted(empty).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    rnd = np.random.default_rng(4)
+    k = len(personal_data.LABELS)
+    field = personal_data.Field({}, np.zeros((3, 0, k)), rnd.normal(0, 1, (k, k)))
+    chains = [rnd.normal(0, 1, (n, k)) for n in (1, 2, 3, 3, 1)]
+    for chain, path in zip(chains, field.decode(chains)):
+        best = max(np.ndindex(*[k] * len(chain)), key=lambda p: sum(chain[i, y] for i, y in enumerate(p)) + sum(field.pairs[a, b] for a, b in zip((0, *p), (*p, 0))))
+        assert tuple(path) == best
+
+
+# Licences
+
+
+def test_licences(spark, docs, empty):
+    model = license_scan.trained()
+    held = [(t, c) for t, c in license_scan.samples(20, 91) if c != "unknown"]
+    right = sum(model.judge(license_scan.words(t))[0] == c for t, c in held)
+    assert right / len(held) > 0.9
+    n, hits = license_scan.scan("Some text of a page\n\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nthe end", model)
+    assert n == 4 and [(i, f) for i, f, _ in hits] == [(1, "apache"), (2, "mit")]
+    assert license_scan.found(docs).where("n_licensed > 0").count() == 0
+    assert license_scan.found(empty).count() == 0
+
+
+# URL rules
+
+
+def test_url_rules(spark, monkeypatch):
+    urls = ["http://a.example.org/es/x", "https://example.org/en/12?q#f", "http://org/", "http://xorg/", "http://x.com/de/", "http://x.com/fr/de/", "HTTP://A.COM/de/a", "http://ads.net/banner/1", "nothing", "", None, "http://host", "a://b?c://org/", "http://ads.net/banner/1"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    rules = [*url_rules.RULES, url_rules.Rule("block", pattern=r"^[^/]*ads\.[a-z]+/.*banner", tokens=("p:banner",)), url_rules.Rule("block", path="/nowhere")]
+    want = [("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "org/"), ("allow", None), ("block", "com/de/"), ("allow", "com/fr/"), ("block", "com/de/"), ("block", r"^[^/]*ads\.[a-z]+/.*banner"), ("allow", None), ("allow", None), ("allow", None), ("allow", None), ("allow", None), ("block", r"^[^/]*ads\.[a-z]+/.*banner")]
+    for inline in (2000, 0):
+        monkeypatch.setattr(url_rules, "INLINE_RULES", inline)
+        rows = url_rules.judged(pages, rules).orderBy("page_id").collect()
+        assert [(r["verdict"], r["rule"]) for r in rows] == want
+        assert url_rules.judged(pages.limit(0), rules).count() == 0
+        assert url_rules.judged(pages.unionByName(pages), rules).count() == 2 * len(urls)
+    assert (rows[6]["host"], rows[6]["path"]) == ("a.com", "/de/a") and (rows[10]["host"], rows[10]["path"]) == ("", "")
