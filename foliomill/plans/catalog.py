@@ -7,8 +7,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.operators import layout, matching
 from foliomill.plans.corpus import BASE
 
 FLAGSHIP = "wf_field_accuracy"
@@ -90,17 +92,51 @@ def _statement(name: str, spark: bool) -> str:
     return sql
 
 
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A statement over the given tables, read as it names them."""
+    sql = re.sub(r"VARCHAR\(\d+\)", "STRING", sql)
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    sql = re.sub(r"\{([^}]*)\}", r"{{\1}}", sql)
+    for t in used:
+        sql = re.sub(rf"(?<=FROM )\b{t}\b|(?<=JOIN )\b{t}\b", "{t_" + t + "}", sql)
+    return spark.sql(sql, **{f"t_{t}": df for t, df in used.items()})
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = _statement(name, True)
-        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
-        for t in used:
-            sql = re.sub(rf"(?<=FROM )\b{t}\b|(?<=JOIN )\b{t}\b", "{t_" + t + "}", sql)
-        sql = re.sub(r"\{(?!t_)([^}]*)\}", r"{{\1}}", sql)
-        return spark.sql(sql, **{f"t_{t}": df for t, df in used.items()})
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, _statement(name, True))
+
+
+#: Words of the corpus' lines with boxes; y wavers, so that neighbouring lines can touch. {split}: the words of a line, numbered from 0.
+_WORDS = "SELECT doc_id, line_no * 100 + pos AS word_no, word AS text, 10 + 40 * pos AS x1, cast(60 + 18 * line_no + (doc_id * 31 + pos * 7) % 9 - 4 AS INT) AS y1, 40 + 40 * pos AS x2, cast(72 + 18 * line_no + (doc_id * 31 + pos * 7) % 9 - 4 AS INT) AS y2, CASE WHEN doc_id % 29 = 0 THEN 0.5e0 ELSE 0.9e0 END AS conf FROM {split}"
+
+
+def lines_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = run_sql(spark, sf_dir, BASE + " " + _WORDS.format(split="(SELECT doc_id, line_no, pos, word FROM lines LATERAL VIEW posexplode(split(text, ' ')) w AS pos, word) x"))
+    lines = layout.lines_of(words.withColumn("page_index", F.lit(0)))
+    return lines.select("doc_id", "line_no", "text", "x1", "y1", "x2", "y2", F.round("avg_conf", 6).alias("avg_conf"))
+
+
+_LINES_SQL = (
+    BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", words AS ("
+    + _WORDS.format(split="(SELECT doc_id, line_no, cast(i AS INT) AS pos, w[i + 1] AS word FROM (SELECT doc_id, line_no, string_split(text, ' ') AS w, unnest(range(0, len(string_split(text, ' ')))) AS i FROM lines) s) x")
+    + """), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, x1, word_no) AS k FROM words),
+r(doc_id, k, a, n) AS (SELECT doc_id, k, y1, 0 FROM o WHERE k = 1 UNION ALL
+  SELECT o.doc_id, o.k, CASE WHEN abs(o.y1 - r.a) <= 12 THEN r.a ELSE o.y1 END, CASE WHEN abs(o.y1 - r.a) <= 12 THEN r.n ELSE r.n + 1 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+SELECT o.doc_id, r.n AS line_no, string_agg(trim(text), ' ' ORDER BY x1, y1, word_no) FILTER (trim(text) <> '') AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(conf), 6) AS avg_conf
+FROM o JOIN r ON o.doc_id = r.doc_id AND o.k = r.k GROUP BY o.doc_id, r.n HAVING count(*) FILTER (trim(text) <> '') > 0"""
+)
+
 
-    return run
+def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealers as found against the list of suppliers: the exact or best fuzzy name of each."""
+    found = run_sql(spark, sf_dir, BASE + " SELECT DISTINCT dealer AS text FROM found WHERE dealer IS NOT NULL").withColumn("line_id", F.md5("text"))
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"))
+    exact = found.join(names, F.lower("text") == F.lower("name")).select("line_id", "name", F.lit(100.0).alias("score"))
+    open_ = found.join(exact, "line_id", "left_anti")
+    best = exact.unionByName(matching.best_fuzzy(open_, names))
+    return found.join(best, "line_id", "left").select(F.col("text").alias("dealer"), "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES
-ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | {"lines_from_words": lines_from_words, "dealer_match": dealer_match}
+ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | {"lines_from_words": _LINES_SQL}
