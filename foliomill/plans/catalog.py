@@ -128,6 +128,29 @@ FROM o JOIN r ON o.doc_id = r.doc_id AND o.k = r.k GROUP BY o.doc_id, r.n HAVING
 )
 
 
+def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the column functions find in each line: label value, horsepower, digits, presence, text without currency marks."""
+    x = F.col("text")
+    lines = run_sql(spark, sf_dir, BASE + " SELECT doc_id, line_no, text FROM lines")
+    return lines.select("doc_id", "line_no", T.label_value(x).alias("label_value"), T.parse_hp(x).alias("hp"), T.digits_only(x).alias("digits"), T.is_stamp(x).alias("stamp"), T.is_signature(x).alias("signature"), T.normalize_spaces(T.strip_currency(x)).alias("bare"), T.language(x).alias("language"))
+
+
+_LINE_VALUES_SQL = BASE + r""" SELECT doc_id, line_no, nullif(trim(regexp_extract(text, '[:-](.*)$', 1)), '') AS label_value,
+  CASE WHEN try_cast(regexp_extract(text, '(?i)([0-9]{1,3})\s*(?:h\.?\s?p\.?)', 1) AS INTEGER) BETWEEN 1 AND 300 THEN try_cast(regexp_extract(text, '(?i)([0-9]{1,3})\s*(?:h\.?\s?p\.?)', 1) AS INTEGER) END AS hp,
+  regexp_replace(text, '[^0-9]+', '', 'g') AS digits, regexp_matches(lower(text), '\b(stamp|seal)\b') AND NOT contains(lower(text), 'stamp duty') AS stamp,
+  regexp_matches(lower(text), 'signatory|\bsd/|\bsigned\b') AS signature, trim(regexp_replace(regexp_replace(text, '(?i)(₹|rs\.?|inr)', ' ', 'g'), '\s+', ' ', 'g')) AS bare,
+  CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM lines"""
+
+
+def amount_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices written as words, from the parts' keys, read back."""
+    ones, tens = list(T.ONES), list(T.TENS)
+    word = lambda n: F.when(n < 20, F.element_at(F.array(*[F.lit(w) for w in ones]), n.cast("int"))).otherwise(F.concat_ws(" ", F.element_at(F.array(*[F.lit(w) for w in tens]), (F.floor(n / 10) - 1).cast("int")), F.get(F.array(F.lit(None).cast("string"), *[F.lit(w) for w in ones[:9]]), (n % 10).cast("int"))))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 99 + 1).alias("a"), (F.col("p_partkey") % 97 + 1).alias("b"))
+    text = F.upper(F.concat(F.lit("RUPEES "), word(F.col("a")), F.lit(" lakh and "), word(F.col("b")), F.lit(" thousand only")))
+    return parts.select("p_partkey", T.amount_in_words(text).alias("amount"))
+
+
 def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealers as found against the list of suppliers: the exact or best fuzzy name of each."""
     found = run_sql(spark, sf_dir, BASE + " SELECT DISTINCT dealer AS text FROM found WHERE dealer IS NOT NULL").withColumn("line_id", F.md5("text"))
@@ -138,5 +161,5 @@ def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "line_id", "left").select(F.col("text").alias("dealer"), "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | {"lines_from_words": lines_from_words, "dealer_match": dealer_match}
-ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | {"lines_from_words": _LINES_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "dealer_match": dealer_match}
+ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}
