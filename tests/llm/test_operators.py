@@ -346,3 +346,16 @@ def test_url_rules(spark, monkeypatch):
         assert url_rules.judged(pages.limit(0), rules).count() == 0
         assert url_rules.judged(pages.unionByName(pages), rules).count() == 2 * len(urls)
     assert (rows[6]["host"], rows[6]["path"]) == ("a.com", "/de/a") and (rows[10]["host"], rows[10]["path"]) == ("", "")
+
+
+def test_personal_data_numbers_of_any_length():
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rnd.choice("0125. x") for _ in range(rnd.randint(0, 30)))
+        assert [m.span() for m in personal_data.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    zeros = "0" * 5000
+    assert personal_data.base_spans(f"{zeros}.1.2.3") == [("ip", 0, 5006)]
+    assert personal_data.base_spans(f"9{zeros}.1.2.3") == []
+    # A run that long would take hours if every digit of it were tried as a start.
+    assert personal_data.base_spans("7" * 2_000_000) == []
