@@ -100,6 +100,81 @@ def amount_in_words(x: Column) -> Column:
     return F.when(lakh != "", n)
 
 
+#: How horsepower is written behind its figure; brands, and words that speak against a model line.
+HP_MARK = r"(\s*(?:hp|h\.\s*p\.?)(?:[^A-Za-z0-9_]|$))"
+BRANDS = r"\b(swaraj|mahindra|massey|ferguson|new\s+holland|sonalika|farmtrac|john\s+deere|kubota|eicher)\b"
+NO_MODEL = r"\b(servicing|service|free|materials|guarantee|terms|conditions|subsidy|permit|department|delivery)\b"
+ACCESSORY = r"\b(hood|hitch|trailer|trailor|plough|disc\.?\s*plough|tiller|leveller|cage\s*wheel|wheel|toolskit|battery)\b"
+#: Languages by their names, as codes of the recogniser.
+LANGUAGE_CODES = {"en": "eng", "english": "eng", "devanagari": "hin", "hi": "hin", "hindi": "hin", "gujarati": "guj", "gu": "guj"}
+#: Other writings of what detectors find.
+LABELS = {"sign": "signature", "seal": "stamp"}
+
+
+def repair_hp_text(x: Column) -> Column:
+    """"yo HP" is 40 HP; a figure's two digits that marks or spaces part come together before HP."""
+    x = F.regexp_replace(x, r"(?i)(^|[^A-Za-z0-9_])yo" + HP_MARK.replace(r"\s*", r"\s+", 1), "$1" + "40$2")  # there is no group 14
+    x = F.regexp_replace(x, r"(?i)(^|[^A-Za-z0-9_])([0-9])\s*[?+]+\s*([0-9])" + HP_MARK, "$1$2$3$4")
+    return F.regexp_replace(x, r"(?i)(^|[^A-Za-z0-9_])([0-9])\s+([0-9])" + HP_MARK, "$1$2$3$4")
+
+
+def fused_hp_lines(lines: Column) -> Column:
+    """Array of lines: one that ends in a lone digit takes the next one if that starts with a digit and HP; each line is used once."""
+    ends, starts = r"(?i)\b\d\s*[?+]*\s*$", r"(?i)^\d\s*(?:hp|h\.\s*p\.?)\b"
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("used"))
+
+    def step(s: Column, x: Column) -> Column:
+        joins = ~s["used"] & F.element_at(s["out"], -1).rlike(ends) & x.rlike(starts)
+        joined = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.concat_ws(" ", F.element_at(s["out"], -1), x)))
+        return F.when(joins, F.struct(joined.alias("out"), F.lit(True).alias("used"))).otherwise(F.struct(F.array_append(s["out"], x).alias("out"), F.lit(False).alias("used")))
+
+    return F.aggregate(lines, start, step, lambda s: s["out"])
+
+
+def clean_line(x: Column) -> Column:
+    """Without a leading article and trailing separators."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize_spaces(x), r"(?i)^the\s+", ""), r"[\s|,:;]+$", ""))
+
+
+def dealer_line(x: Column) -> Column:
+    """Who a dealer deals for, if the line says so; else the line."""
+    line = clean_line(x)
+    return F.coalesce(*[F.nullif(clean_line(F.regexp_extract(line, p, 1)), F.lit("")) for p in (r"(?i)\bauthori[sz]ed\s+dealer\s+for\s+(.+)$", r"(?i)\bdealer\s+for\s+(.+)$")], line)
+
+
+def strict_money(x: Column) -> Column:
+    """Whole numbers, grouped by commas or plain, that no digit adjoins."""
+    return F.regexp_extract_all(x, F.lit(r"(?<!\d)(?:\d{1,3}(?:,\d{2,3})+|\d+)(?!\d)"), 0)
+
+
+def decimal_money(x: Column) -> Column:
+    """Amounts as whole numbers; two decimals are cut off."""
+    found = F.regexp_extract_all(x, F.lit(r"(?<!\d)(?:\d[\d,]*\.\d{2}|\d{1,3}(?:,\d{2,3})+|\d+)(?!\d)"), 0)
+    return F.transform(found, lambda t: F.regexp_replace(F.regexp_replace(t, r"\.\d{2}$", ""), "[^0-9]+", "").try_cast("decimal(38,0)"))
+
+
+def model_rank(x: Column) -> Column:
+    """How little a line looks like a model's: (penalty, no model's token, an amount); the least is the best."""
+    hit = lambda p, n: F.when(x.rlike("(?i)" + p), n).otherwise(0)
+    penalty = hit(r"\bcost\b", 1) + F.when(x.rlike(r"(?i)\bcost\s+of\s+new\b") & x.rlike(r"(?i)\btractor\b"), -2).otherwise(0) + hit(r"\b(?:rs|inr|₹)\b", 2) + hit(r"\bHP\b", 1) + hit(NO_MODEL, 4) + hit(ACCESSORY, 4)
+    token = x.rlike("(?i)" + BRANDS) | x.rlike(r"\b[A-Z]{1,4}\d{2,5}[A-Z0-9\-/+]*\b|\b\d{2,5}\b")
+    return F.struct(penalty.alias("penalty"), F.when(token, 0).otherwise(1).alias("no_token"), F.when(x.rlike(r"\d"), 1).otherwise(0).alias("amount"))
+
+
+def language_codes(hints: Column, available: Column) -> Column:
+    """Codes of the known and available languages among the hints, once each in their order; eng if there is none."""
+    table = F.create_map(*[F.lit(v) for kv in LANGUAGE_CODES.items() for v in kv])
+    codes = F.array_distinct(F.array_compact(F.transform(hints, lambda h: F.element_at(table, F.lower(F.trim(h))))))
+    codes = F.when(F.size(available) > 0, F.filter(codes, lambda c: F.array_contains(available, c))).otherwise(codes)
+    spare = F.when((F.size(available) == 0) | F.array_contains(available, "eng"), "eng").otherwise("")
+    return F.when(F.size(codes) > 0, F.array_join(codes, "+")).otherwise(spare)
+
+
+def detection_label(x: Column) -> Column:
+    low = F.lower(F.trim(x))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in LABELS.items() for v in kv]), low), low)
+
+
 # Queries over the documents, with their SQL.
 
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
 from foliomill.operators import layout, matching
+from foliomill.plans import forms
 from foliomill.plans.corpus import BASE
+from foliomill.plans.sql import TABLES, run_sql
 
 FLAGSHIP = "wf_field_accuracy"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Statements over the corpus' tables (truth, lines, found, judged, conf, runs) and the given ones, in common SQL.
 STATEMENTS = {
@@ -92,16 +93,6 @@ def _statement(name: str, spark: bool) -> str:
     return sql
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A statement over the given tables, read as it names them."""
-    sql = re.sub(r"VARCHAR\(\d+\)", "STRING", sql)
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
-    sql = re.sub(r"\{([^}]*)\}", r"{{\1}}", sql)
-    for t in used:
-        sql = re.sub(rf"(?<=FROM )\b{t}\b|(?<=JOIN )\b{t}\b", "{t_" + t + "}", sql)
-    return spark.sql(sql, **{f"t_{t}": df for t, df in used.items()})
-
-
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_sql(spark, sf_dir, _statement(name, True))
 
@@ -161,5 +152,5 @@ def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "line_id", "left").select(F.col("text").alias("dealer"), "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "dealer_match": dealer_match}
-ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | forms.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "dealer_match": dealer_match}
+ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | forms.ORACLE_SQL | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}
