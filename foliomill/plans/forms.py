@@ -208,6 +208,9 @@ FROM (SELECT doc_id, count(*) FILTER (n_lines = 0) AS gaps FROM lay GROUP BY doc
     "dealer_normalize": "SELECT s_suppkey, s_name AS dealer FROM supplier",
     "indic_digits": "SELECT p_partkey, translate(cast(p_partkey AS VARCHAR), '0123456789', '०१२३४५६७८९') AS written, cast(p_partkey AS VARCHAR) AS digits FROM part",
     "decimal_amounts": "SELECT p_partkey, cast(floor(round(p_retailprice * 100) / 100) AS BIGINT) AS amount, cast(2 AS BIGINT) AS n FROM part",
+    "model_lines": """SELECT doc_id, text, penalty, no_token, amount FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, no_token, amount, p_partkey) AS rn FROM (SELECT p_size AS doc_id, p_partkey, text,
+  CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END AS penalty, CASE WHEN regexp_matches(text, '\\b[0-9]{2,5}\\b') THEN 0 ELSE 1 END AS no_token, CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END AS amount
+  FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN concat('Cost of new tractor Rs ', p_size) WHEN 1 THEN concat('Tractor ', p_brand, ' trailer') WHEN 2 THEN concat('Tractor HP ', p_size) ELSE concat('tractor ', p_type) END AS text FROM part) t) s) r WHERE rn = 1""",
     "language_arguments": "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'hin+eng' ELSE 'hin' END || CASE WHEN n_nationkey % 3 = 0 THEN '+guj' ELSE '' END WHEN 1 THEN CASE WHEN n_nationkey % 3 = 0 THEN 'guj' ELSE '' END ELSE CASE WHEN n_nationkey % 2 = 0 THEN 'hin+eng' ELSE 'hin' END END AS codes FROM nation",
     "detections_top": f"SELECT doc_id, label, conf, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY conf DESC, x1, y1) AS rn FROM ({_DUCK_BOXES}) b) WHERE rn = 1",
     "keyword_lines": "SELECT doc_id, count(*) FILTER (regexp_matches(lower(line), '" + "|".join(regions.TABLE_WORDS) + "')) AS worded, count(*) FILTER (length(line) >= 6 AND length(regexp_replace(line, '[^\\p{Nd}]+', '', 'g')) >= 0.25 * length(line)) AS dense, count(line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l GROUP BY doc_id",
