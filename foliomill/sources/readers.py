@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,16 +22,41 @@ def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def flag_of(x: Column) -> Column:
+    """A flag as people write it; null if it is none."""
+    low = F.lower(F.trim(x))
+    return F.when(low.isin("true", "yes", "y", "1"), True).when(low.isin("false", "no", "n", "0"), False)
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Ground truth, nested under ``fields`` or flat; presence as a flag or in ``present``."""
     inner = "dealer_name string, model_name string, horse_power int, asset_cost bigint, signature string, stamp string"
     df = spark.read.schema(f"doc_id string, fields struct<{inner.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>, {inner}").option("multiLine", "true").json(path)
-    flag = lambda c: F.lower(F.coalesce(F.get_json_object(c, "$.present"), c)).isin("true", "yes", "y", "1")
+    flag = lambda c: flag_of(F.coalesce(F.get_json_object(c, "$.present"), c))
     pick = lambda c: F.coalesce(F.col(f"fields.{c}"), F.col(c))
     return df.select("doc_id", *[pick(c).alias(c) for c in ("dealer_name", "model_name", "horse_power", "asset_cost")], *[flag(pick(c)).alias(c) for c in ("signature", "stamp")])
 
 
+#: First cells of a list that name its column.
+HEADERS = ("dealer_name", "dealer", "name", "model_name", "model")
+
+
 def master_list(spark: SparkSession, path: str) -> DataFrame:
-    """Names, one a line, in order; comments and blank lines are skipped."""
-    df = spark.read.text(path).select(F.trim("value").alias("name")).where((F.col("name") != "") & ~F.col("name").startswith("#"))
-    return df.distinct()
+    """Names, one a line, with their places; comments and blank lines are skipped."""
+    df = spark.read.text(path).select(F.trim("value").alias("name"), F.monotonically_increasing_id().alias("place"))
+    return df.where((F.col("name") != "") & ~F.col("name").startswith("#"))
+
+
+def master_csv(spark: SparkSession, path: str) -> DataFrame:
+    """First cells of a CSV file with their places; blank ones and column names are skipped."""
+    df = spark.read.schema("name string").option("mode", "PERMISSIVE").csv(path)
+    df = df.select(F.trim("name").alias("name"), F.monotonically_increasing_id().alias("place"))
+    return df.where((F.col("name") != "") & ~F.lower("name").isin(*HEADERS))
+
+
+def first_list(*lists: DataFrame) -> DataFrame:
+    """The first of the lists (name, place) that isn't empty."""
+    ranked = [df.select("name", "place", F.lit(i).alias("rank")) for i, df in enumerate(lists)]
+    every = reduce(DataFrame.unionByName, ranked)
+    first = every.agg(F.min("rank").alias("rank"))  # one row
+    return every.join(F.broadcast(first), "rank").select("name", "place")

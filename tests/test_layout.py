@@ -50,7 +50,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("level\tpage\n5\t1\t0\t0\t0\t0\t10\t20\t5\t6\t90\thello\n5\t1\t0\t0\t0\t0\t1\t2\t5\t6\t-1\tx\n4\t1\t0\t0\t0\t0\t1\t2\t5\t6\t90\ty\n5\t1\t0\t0\t0\t0\t1\t2\t5\t6\t90\t \n")
     assert [tuple(r) for r in readers.words_of_tsv(spark, str(tmp_path / "w.tsv")).collect()] == [(1, "hello", 10, 20, 15, 26, 0.9)]
     (tmp_path / "m.txt").write_text("# names\n\nA\n B \n")
-    assert sorted(r[0] for r in readers.master_list(spark, str(tmp_path / "m.txt")).collect()) == ["A", "B"]
+    assert sorted(r["name"] for r in readers.master_list(spark, str(tmp_path / "m.txt")).collect()) == ["A", "B"]
+    (tmp_path / "c.csv").write_text('Dealer_Name,x\n"Q, R",1\n,2\n S ,3\n')
+    (tmp_path / "none.txt").write_text("# nothing\n")
+    csv, none = readers.master_csv(spark, str(tmp_path / "c.csv")), readers.master_list(spark, str(tmp_path / "none.txt"))
+    assert [r["name"] for r in readers.first_list(none, csv, readers.master_list(spark, str(tmp_path / "m.txt"))).orderBy("place").collect()] == ["Q, R", "S"]
+    assert readers.first_list(none, none).count() == 0
+    flags = spark.createDataFrame([(" Yes",), ("0",), ("maybe",), (None,)], "x string").select(readers.flag_of(F.col("x"))).collect()
+    assert [r[0] for r in flags] == [True, False, None, None]
     (tmp_path / "l").mkdir()
     (tmp_path / "l/a.json").write_text(json.dumps({"doc_id": "a", "fields": {"dealer_name": "X", "signature": {"present": True}}}))
     (tmp_path / "l/b.json").write_text(json.dumps({"doc_id": "b", "horse_power": 50, "stamp": True}))
