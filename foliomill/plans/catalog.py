@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
-from foliomill.operators import layout, matching
+from foliomill.operators import fields, layout, matching
 from foliomill.plans import forms
 from foliomill.plans.corpus import BASE
 from foliomill.plans.sql import TABLES, run_sql
@@ -162,6 +162,17 @@ def amount_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", T.amount_in_words(text).alias("amount"))
 
 
+def model_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first model of the parts that a line of the document holds: all lines against all models.
+
+    The SQL in STATEMENTS tries the models of the first 50 parts and one line a document only, so it has fewer rows.
+    """
+    lines = run_sql(spark, sf_dir, BASE + " SELECT doc_id, line_no, text FROM lines")
+    names = run_sql(spark, sf_dir, "SELECT DISTINCT concat(p_brand, ' ', p_type, ' ', cast(p_size AS VARCHAR(9))) AS name FROM part")
+    best = fields.holding(lines, names).groupBy("doc_id").agg(F.min(F.struct("line_no", "name")).alias("b"))
+    return best.select("doc_id", F.col("b.name").alias("master"))
+
+
 def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dealers as found against the list of suppliers: the exact or best fuzzy name of each."""
     found = run_sql(spark, sf_dir, BASE + " SELECT DISTINCT dealer AS text FROM found WHERE dealer IS NOT NULL").withColumn("line_id", F.md5("text"))
@@ -172,5 +183,5 @@ def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "line_id", "left").select(F.col("text").alias("dealer"), "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | forms.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "dealer_match": dealer_match}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | forms.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "model_first_match": model_first_match, "dealer_match": dealer_match}
 ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | forms.ORACLE_SQL | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}
