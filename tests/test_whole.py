@@ -1,5 +1,9 @@
 """Queries and operators do the whole job: against plain loops without bounds on the lists."""
 
+import random
+
+from foliomill.functions import fuzzy
+from foliomill.operators import fields, matching
 from foliomill.plans import catalog
 from foliomill.plans.corpus import BASE
 from foliomill.plans.sql import run_sql
@@ -20,3 +24,33 @@ def test_model_first_match_tries_all_lines_and_models(spark):
                 want[r["doc_id"]] = min(want.get(r["doc_id"], (99, "")), (r["line_no"], n))
     got = {r["doc_id"]: r["master"] for r in catalog.QUERIES["model_first_match"](spark, SF).collect()}
     assert got == {d: n for d, (_, n) in want.items()}
+
+
+def _misread(rnd, name):
+    out = list(name)
+    for _ in range(rnd.randint(0, 4)):
+        at = rnd.randrange(len(out))
+        out[at : at + 1] = rnd.choice([[], [out[at], rnd.choice("aeinr ")], [rnd.choice("aeinr")]])
+        out = out or ["a"]
+    return "".join(out)
+
+
+def test_names_that_share_no_word_are_matched(spark):
+    rnd = random.Random(7)
+    names = ["Maharashtra Agrotech", "Gupta", "abc", "K", "Shree Ganesh Tractors", "Shri Ganesh Traktor Sales", "Supplier#000000017", "delta  farm"]
+    names += ["".join(rnd.choice("aeinr ") for _ in range(rnd.randint(1, 30))).strip() or "x" for _ in range(40)]
+    texts = ["Maharastra Agrotec", "zzz", "", *(_misread(rnd, rnd.choice(names)) for _ in range(600))]
+    listed = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_id long, text string")
+    for least in (90.0, 75.0, 97.0):
+        best = {i: min((-fuzzy.score(t, n), n) for n in names) for i, t in enumerate(texts)}
+        got = {r["line_id"]: (-r["score"], r["name"]) for r in matching.best_fuzzy(lines, listed, least).collect()}
+        assert got == {i: b for i, b in best.items() if -b[0] >= least}
+    assert matching.best_fuzzy(lines, listed.limit(0)).count() == 0
+
+
+def test_dealer_search_finds_misread_names(spark):
+    rows = [(1, "header", 0, 0, "Maharastra Agrotec", 0.9, 0.8), (1, "body", 0, 5, "Maharashtra Motors", 0.9, 0.8), (2, "header", 0, 0, "Dealer: Maharastra Agrotec", 0.9, 0.8)]
+    lines = spark.createDataFrame(rows, "doc_id long, region string, page_index int, line_no int, text string, avg_conf double, region_conf double")
+    listed = spark.createDataFrame([("Maharashtra Agrotech", 0), ("Maharashtra Tyres", 1)], "name string, place long")
+    assert {r["doc_id"]: r["value"] for r in fields.dealer(lines, listed).collect()} == {1: "Maharashtra Agrotech", 2: "Maharashtra Agrotech"}
