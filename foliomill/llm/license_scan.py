@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, an unknown class, and a comparison with templates.
 
-A paragraph (a line with a word; long ones in overlapping windows of WINDOW words) is scored by multinomial logistic
+A line with a word, and a run of such lines up to a blank one (marks of comments don't count; both in overlapping
+windows of WINDOW words, those of runs across line ends), is scored by multinomial logistic
 regression over sparse word n-grams (one to three words). Probabilities are calibrated by a temperature on held-out
 rows; what looks like a licence but whose best family has less than the calibrated probability is ``unknown``. A
 predicted family is confirmed by comparing the paragraph with the family's templates (share of a template's word pairs
@@ -45,6 +46,8 @@ MISLEADING = ["the driver lost his license last year", "a fishing license costs
 
 COMMON = frozenset("a an and any are as at be been by for from has have in into is it its may no not of on or other that the this to under was which will with you your part use made can".split())
 WORD = re.compile(r"[^\W_][\w.+-]*")
+#: Marks of comments before a line's text.
+MARKS = re.compile(r"^\s*(?:[^\w\s]+\s*|(?:rem|dnl)\s+)+")
 WINDOW, STRIDE = 48, 24
 PAIR_SHARE = 0.5
 
@@ -166,26 +169,54 @@ def trained(n: int = 150, rounds: int = 300) -> Classifier:
 
 
 def scan(text: str, model: Classifier) -> tuple[int, list[tuple[int, str, float]]]:
-    """(number of paragraphs, hits: place of the paragraph, family or unknown, probability)."""
-    n, hits = 0, []
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        n += 1
-        low = line.lower()
-        if model.content.isdisjoint(x.strip(".,;:()\"'") for x in low.split()) and model.content.isdisjoint(words(low)):
-            continue
-        own = words(low)
-        for at in range(0, max(1, len(own) - STRIDE), STRIDE):
-            some = own[at : at + WINDOW]
-            if model.content.isdisjoint(some):
-                continue
-            family, p = model.judge(some)
-            if family != "none" and (n - 1, family) not in [h[:2] for h in hits[-4:]]:
-                hits.append((n - 1, family, p))
+    """(number of lines, hits: place of the line, family or unknown, probability)."""
+    n, hits, run = 0, [], []
+    for line in [*text.split("\n"), ""]:
+        own = words(MARKS.sub("", line.lower()))
+        if not own:
+            hits += _run(run, model)
+            run = []
+        else:
+            run.append((n, own, line.rstrip().endswith("-")))
+        n += bool(line.strip())
     return n, hits
 
 
+def _windows(own: list, content: frozenset[str]) -> Iterator[list]:
+    for at in range(0, max(1, len(own) - STRIDE), STRIDE):
+        some = own[at : at + WINDOW]
+        if not content.isdisjoint(w for _, w in some):
+            yield some
+
+
+def _run(run: list[tuple[int, list[str], bool]], model: Classifier) -> list[tuple[int, str, float]]:
+    """Hits of lines that follow each other: of each line, and of windows across line ends that hold more than a line says."""
+    hits = []
+    for n, own, _ in run:
+        for some in _windows([(n, w) for w in own], model.content):
+            family, p = model.judge([w for _, w in some])
+            if family != "none" and (n, family) not in [h[:2] for h in hits[-4:]]:
+                hits.append((n, family, p))
+    if len(run) > 1:
+        joined, broken = [], False
+        for n, own, breaks in run:
+            if broken:  # a word parted at its hyphen
+                joined[-1] = (joined[-1][0], f"{joined[-1][1]}-{own[0]}")
+            joined += [(n, w) for w in own[broken:]]
+            broken = breaks
+        for some in _windows(joined, model.content):
+            first, last = some[0][0], some[-1][0]
+            if first == last:
+                continue
+            family, p = model.judge([w for _, w in some])
+            within = [h for h in hits if first <= h[0] <= last]
+            if family == "none" or any(f == family for _, f, _ in within) or (family == "unknown" and within):
+                continue
+            hits = [h for h in hits if h not in within or h[1] != "unknown"]  # parts of what is known now
+            hits.append((first, family, p))
+    return sorted(hits, key=lambda h: h[0])
+
+
 def found(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id -> paragraphs, those with a known and an unknown licence, the families, and all hits as place:family."""
     kind = docs.schema[doc_id].dataType.simpleString()
