@@ -54,3 +54,17 @@ def test_dealer_search_finds_misread_names(spark):
     lines = spark.createDataFrame(rows, "doc_id long, region string, page_index int, line_no int, text string, avg_conf double, region_conf double")
     listed = spark.createDataFrame([("Maharashtra Agrotech", 0), ("Maharashtra Tyres", 1)], "name string, place long")
     assert {r["doc_id"]: r["value"] for r in fields.dealer(lines, listed).collect()} == {1: "Maharashtra Agrotech", 2: "Maharashtra Agrotech"}
+
+
+def test_best_threshold_tries_all(spark):
+    df = run_sql(spark, SF, BASE + " SELECT c.confidence, d.ok FROM conf c JOIN (SELECT doc_id, min(CASE WHEN ok = false THEN 0 ELSE 1 END) AS ok FROM judged GROUP BY doc_id) d ON c.doc_id = d.doc_id").collect()
+    rows = [(round(r["confidence"] * 10000), r["ok"]) for r in df]
+    best = None
+    for k in range(40, 96):
+        tp, fp = sum(ok for c, ok in rows if c >= k * 100), sum(1 - ok for c, ok in rows if c >= k * 100)
+        fn = sum(ok for c, ok in rows if c < k * 100)
+        f1 = 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0
+        best = min(best or (9,), (-round(f1, 9), -tp, fn, k, fp))
+    got = catalog.QUERIES["best_threshold"](spark, SF).collect()
+    assert [(r["k"], r["tp"], r["fp"], r["fn"]) for r in got] == [(best[3], -best[1], best[4], best[2])]
+    assert "sequence(40L, 95L)" in catalog._statement("best_threshold", True)
