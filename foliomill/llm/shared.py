@@ -16,15 +16,31 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder's URI below the cluster's ``spark.checkpoint.dir``; a temporary folder where that is unset (tests)."""
+    """A new folder's URI below the cluster's ``spark.checkpoint.dir``, on the default file system if it names none.
+
+    Where it is unset, a temporary folder serves a local master (tests); any other master raises, as its executors share none.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir: the executors of {master} need a shared folder")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="foliomill-"))
     if "://" not in base:
-        base = "file://" + base if base.startswith("/") else base
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """(file system, path) of a URI, for any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, label)

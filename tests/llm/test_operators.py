@@ -217,17 +217,29 @@ def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.normal(0, 0.2, 8)]) for i in range(0, 430)] + [(1000 + i, [0.5] * 8) for i in range(20)]
     rows += [(2000, None), (2100, [0.1, None]), (2200, [float("nan")] * 8), (2300, [float("inf")] * 8), (None, [0.1] * 8), (2400, [0.5, -0.25]), (2500, []), (1000, [0.4] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
-    fine = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for i, q in fine:
-        if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), c) for c, v in fine if c != i)[:10]
-            want += [(i, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
-    for block in (1024, 2):
-        got = [tuple(r) for r in vector_search.top_k(df, 10, block=block).collect()]
-        assert sorted(got) == sorted(want)
-    assert vector_search.top_k(df.limit(0), 10).count() == 0
+    # Components of any size; many copies of a vector under many ids, and of a query under its own id.
+    rows += [(3000, [3e6] * 8), (3001, [-3e6] * 8), (3100, [1e38] * 8), (3101, [1e38] * 7 + [-3e38])]
+    rows += [(4000, [0.25] * 8)] * 16 + [(5000 + i % 3, [0.25] * 8) for i in range(30)]
+    for own, dims in ((rows, 8), ([(100, []), (200, []), (None, [])], 0), ([(100, [1.0])], 1), ([], 0)):
+        df = spark.createDataFrame(own, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+        fine = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (dims - len(v))) for i, v in own if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+        want = []
+        for i, q in fine:
+            if i % 100 == 0:
+                scored = sorted((-sum(a * b for a, b in zip(q, v)), c) for c, v in fine if c != i)[:10]
+                want += [(i, k + 1, c, -s if -(2**63) <= -s < 2**63 else None, str(-s)) for k, (s, c) in enumerate(scored)]
+        for block, first in ((1024, None), (2, 3)):
+            assert sorted(map(tuple, vector_search.top_k(df, 10, block=block, first=first).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(0, 1, (20, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in centres[i % 20] + rnd.normal(0, 0.1, 32)]) for i in range(4000)], "vec_id long, embedding array<float>")
+    read, plain = [], vector_search.scores
+    monkeypatch.setattr(vector_search, "scores", lambda pairs, *rest: read.append(pairs.count()) or plain(pairs, *rest))
+    assert vector_search.top_k(df, 10).count() == 400
+    assert sum(read) < 0.1 * 40 * 4000
 
 
 # Packing
