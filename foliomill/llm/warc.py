@@ -1,17 +1,23 @@
 """WARC archives: a writer with one gzip member a record, and a splittable reader.
 
 Reading deals byte ranges of the files to tasks. A task scans its range for the gzip magic, takes a candidate for a
-member only if what it inflates to starts with WARC headers, and owns the records that start inside its range; it reads
-past the range's end for the last one. Members of an archive stored inside a payload can look like records too: the
-records after a true start follow each other without a gap, so a run of candidates that breaks off before the range's
-end (or, past it, before MAX_CHAIN further records or the file's end) is given up and the scan goes on behind its first.
+member if what it inflates to starts with WARC headers, and owns the records that start inside its range; it reads past
+the range's end for the last one. Behind a record the next one is expected at once; where none is (damage, padding),
+the scan goes on byte by byte, so a damaged member costs no other record, and the work stays in proportion to the bytes.
+
+Members of an archive stored inside a payload look like records too. A file starts with a ``warcinfo`` record, and its
+records name that one's id (WARC-Warcinfo-ID, a new UUID for each file): a candidate whose headers name another file's
+is none, and is left after its headers. Files whose first record isn't such a warcinfo are not split: the task of the
+first range reads them from their start, where records follow each other; behind damage in such a file, records of an
+archive stored in a damaged payload can't be told from its own and are given out.
 
 Writing: tasks write files under names of their own, and only the files of successful attempts are listed in the
 manifest that the reader takes, so lost executors and repeated attempts leave no record twice. Payloads that others
 equal are stored once: the record of the smallest id is a response, the others are revisits that refer to it.
 
 Null payloads are empty ones. Records without an id are responses that others don't refer to. Records that agree in
-id and payload are all responses (a record can't revisit itself). An empty table makes an empty archive.
+id and payload are all responses (a record can't revisit itself). An empty table makes an empty archive. A record is
+held whole by its task, a very long payload too. Columns besides those named are neither written nor read.
 """
 
 from __future__ import annotations
@@ -26,40 +32,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.shared import shared_dir, stored
+from foliomill.llm.shared import filesystem, shared_dir, stored
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 SPLIT_BYTES = 8 << 20
-#: Records beyond the end of its range by which a reader confirms a run of records.
-MAX_CHAIN = 4
 READ_BYTES = 1 << 20
+#: What has no end of headers in so many bytes is no record.
+HEADER_BYTES = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
-def filesystem(uri: str):
-    """(file system, path) of a URI, for any store that pyarrow knows."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, record_type: str, uri: str, sha1: str, payload: bytes, refers_to: str | None = None) -> bytes:
+def record(record_id: str, record_type: str, uri: str, sha1: str, payload: bytes, refers_to: str | None = None, file_id: str | None = None) -> bytes:
     """One record as a gzip member. A revisit keeps the HTTP headers, with the payload's length, and drops the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if record_type == "revisit" else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line(uri)}", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
+    head = [f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{record_id}>", *[f"WARC-Warcinfo-ID: <{file_id}>"] * bool(file_id), "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line(uri)}", f"WARC-Payload-Digest: sha1:{sha1}", "Content-Type: application/http; msgtype=response"]
     if record_type == "revisit":
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    raw = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    return _member(head, block)
+
+
+def warcinfo(file_id: str) -> bytes:
+    """The record that a file starts with."""
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <{file_id}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    raw = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
     gz = zlib.compressobj(6, zlib.DEFLATED, 31)
     return gz.compress(raw) + gz.flush()
 
@@ -78,14 +84,17 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 256 << 20) -> DataFram
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = filesystem(folder)
         store.create_dir(top, recursive=True)
-        out, name, size, n = None, "", 0, 0
+        out, name, file_id, size, n = None, "", "", 0, 0
         done = []
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    file_id, name = f"urn:uuid:{uuid.uuid4()}", f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{top}/{name}", compression=None)  # the name would have it compress again
-                member = record(r["record_id"], r["record_type"], r["uri"] or "", r["sha1"], r["payload"], r["refers_to"])
+                    first = warcinfo(file_id)
+                    out.write(first)
+                    size, n = len(first), 0
+                member = record(r["record_id"], r["record_type"], r["uri"] or "", r["sha1"], r["payload"], r["refers_to"], file_id)
                 out.write(member)
                 size, n = size + len(member), n + 1
                 if size >= file_bytes:
@@ -102,7 +111,7 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 256 << 20) -> DataFram
 
 
 class _Window:
-    """Bytes of a file from anywhere, read in pieces; what lies before ``floor`` is forgotten."""
+    """Bytes of a file from anywhere, read in pieces; what lies before the last place asked for is forgotten."""
 
     def __init__(self, source, size: int, at: int):
         self.source, self.size, self.at, self.data = source, size, at, b""
@@ -120,12 +129,24 @@ class _Window:
         return self.data[start - self.at : start - self.at + n]
 
 
-def member(window: _Window, start: int) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers, block, place after it) of the member at ``start``; None if there is none with WARC headers."""
+def _headers(raw: bytes) -> tuple[dict[str, str], int] | None:
+    """(headers, place of the block); None if these aren't whole WARC headers."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0 or not raw.startswith(VERSION):
+        return None
+    try:
+        headers = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[:end].decode().split("\r\n")[1:]))
+        return (headers, end + 4) if "warc-type" in headers and int(headers["content-length"]) >= 0 else None
+    except (ValueError, KeyError):
+        return None
+
+
+def member(window: _Window, start: int, file_id: str | None = None) -> tuple[dict[str, str], bytes, int] | None:
+    """(headers, block, place after it) of the member at ``start``; None if there is no whole record (of ``file_id``)."""
     gz, raw, at = zlib.decompressobj(31), bytearray(), start
-    checked = False
+    found = None
     while not gz.eof:
-        piece = window.get(at, 1 << 16)
+        piece = window.get(at, 1 << 16 if found else 1 << 10)
         if not piece:
             return None
         try:
@@ -133,60 +154,49 @@ def member(window: _Window, start: int) -> tuple[dict[str, str], bytes, int] | N
         except zlib.error:
             return None
         at += len(piece)
-        if not checked and len(raw) >= len(VERSION):
-            if not raw.startswith(VERSION):
+        if found is None:
+            if not raw.startswith(VERSION[: len(raw)]):
                 return None
-            checked = True
-    at -= len(gz.unused_data)
-    head, gap, block = bytes(raw).partition(b"\r\n\r\n")
-    if not gap or not head.startswith(VERSION):
-        return None
-    try:
-        headers = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:]))
-        n = int(headers["content-length"])
-    except (ValueError, KeyError):
+            found = _headers(bytes(raw))
+            if found and file_id and found[0].get("warc-warcinfo-id") != f"<{file_id}>" and found[0].get("warc-record-id") != f"<{file_id}>":
+                return None
+            if found is None and (len(raw) > HEADER_BYTES or b"\r\n\r\n" in raw):
+                return None
+    if found is None:
         return None
-    return (headers, block[:n], at) if len(block) >= n and "warc-type" in headers else None
+    headers, begin = found
+    n = int(headers["content-length"])
+    return (headers, bytes(raw[begin : begin + n]), at - len(gz.unused_data)) if len(raw) >= begin + n else None
+
+
+def file_of(source, size: int) -> str | None:
+    """The id of the file's warcinfo record, if it starts with one."""
+    first = member(_Window(source, size, 0), 0)
+    return first[0].get("warc-record-id", "").strip("<>") or None if first and first[0]["warc-type"] == "warcinfo" else None
 
 
 def records(source, size: int, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and blocks of the records that start in [start, end) of a file."""
+    """Headers and blocks of the records that start in [start, end) of a file, without its warcinfo."""
+    file_id = file_of(source, size)
+    second = member(_Window(source, size, 0), member(_Window(source, size, 0), 0)[2]) if file_id else None
+    if file_id is None or (second and second[0].get("warc-warcinfo-id") != f"<{file_id}>"):
+        file_id = None
+        if start:
+            return
+        end = size
     window, at = _Window(source, size, start), start
-    sure = start == 0  # the place is the end of a record that is certain, or the file's start
     while at < end:
-        if not sure:
-            piece = window.get(at, READ_BYTES)
-            hit = piece.find(MAGIC)
-            if hit < 0:
-                at += max(1, len(piece) - len(MAGIC) + 1)
-                continue
-            at += hit
-            if at >= end:
-                return
-        if not sure and not _confirmed(window, at, size, end):
-            at += 1
-            continue
-        found = member(window, at)
-        if found is None:
-            sure, at = False, at + 1
+        found = member(window, at, file_id) if window.get(at, len(MAGIC)) == MAGIC else None
+        if found is not None:
+            headers, block, at = found
+            if headers["warc-type"] != "warcinfo":
+                yield headers, block
             continue
-        headers, block, at = found
-        sure = True
-        yield headers, block
-
-
-def _confirmed(window: _Window, at: int, size: int, end: int) -> bool:
-    """Whether records follow each other from ``at`` to the range's end and MAX_CHAIN further, or to the file's end."""
-    further = 0
-    while at < size:
-        found = member(window, at)
-        if found is None:
-            return False
-        at = found[2]
-        further += at >= end
-        if further >= MAX_CHAIN:
-            return True
-    return True
+        piece = window.get(at + 1, READ_BYTES)
+        hit = piece.find(MAGIC)
+        if not piece:
+            return
+        at = at + 1 + hit if hit >= 0 else at + 1 + max(1, len(piece) - len(MAGIC) + 1)
 
 
 def parsed(headers: dict[str, str], block: bytes) -> dict:

@@ -53,15 +53,48 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.archived(none, shared_dir(spark, "t"))).count() == 0
 
 
-def test_warc_inner_archive_is_no_record():
+def _ids(data, step):
+    return [h["warc-record-id"] for s in range(0, len(data), step) for h, _ in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + step))]
+
+
+def _archive(payloads, name):
+    return [warc.warcinfo(name), *[warc.record(str(i), "response", "u", warc.digest(p), p, file_id=name) for i, p in enumerate(payloads)]]
+
+
+def test_warc_inner_archive_is_no_record(monkeypatch):
     rnd = random.Random(1)
-    noise = rnd.randbytes(3000)
-    inner = b"".join(warc.record(f"i{i}", "response", "u", warc.digest(noise), noise) for i in range(3))
-    files = [warc.record(str(i), "response", "u", warc.digest(p), p) for i, p in enumerate([b"a", inner, b"b", inner, b"c", b"d"])]
+    inner = b"".join(_archive([rnd.randbytes(300) for _ in range(30)], "urn:uuid:inner"))
+    plain = zlib.compressobj
+    monkeypatch.setattr(zlib, "compressobj", lambda level, *rest: plain(0, *rest))  # stored: the inner members lie open in the file
+    files = _archive([b"a", inner, b"b", inner, b"c", b"d"], "urn:uuid:outer")
     data = b"".join(files)
+    assert data.count(warc.MAGIC) > 60
     for step in (50, 333, 4000):
-        got = [h["warc-record-id"] for s in range(0, len(data), step) for h, _ in warc.records(io.BytesIO(data), len(data), s, min(len(data), s + step))]
-        assert got == [f"<urn:page:{i}>" for i in range(6)]
+        assert _ids(data, step) == [f"<urn:page:{i}>" for i in range(6)]
+    # Without a warcinfo record the file isn't split; its records follow each other from its start.
+    data = b"".join(warc.record(str(i), "response", "u", warc.digest(p), p) for i, p in enumerate([b"a", inner, b"b"]))
+    for step in (50, 4000):
+        assert _ids(data, step) == [f"<urn:page:{i}>" for i in range(3)]
+
+
+def test_warc_damage_costs_one_record():
+    rnd = random.Random(2)
+    files = _archive([rnd.randbytes(2000) for _ in range(400)], "urn:uuid:one")
+    files[300] = files[300][:900] + b"\0" * 50 + files[300][950:]  # record 299
+    files[100] = files[100][:-7]  # record 99 lacks its end
+    files.insert(50, b"\0" * 64)  # padding
+    data = b"".join(files) + files[7][:500]
+    want = [f"<urn:page:{i}>" for i in range(400) if i not in (99, 299)]
+    for step in (len(data), 9000, 100_000):
+        assert _ids(data, step) == want
+
+
+def test_warc_long_and_repeated_records(spark):
+    noise = random.Random(3).randbytes(5 << 20).hex()  # a member longer than a range
+    rows = [(1, "u", noise), (1, "u", noise), (2, "u", "x"), (2, "u", "x"), (3, "u", "x"), (4, "u", None)]
+    found = warc.read(warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), shared_dir(spark, "t")), 1 << 20)
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found.select("record_id", "record_type", F.coalesce("refers_to", F.lit("")).alias("refers_to"), "payload_bytes").collect())
+    assert got == sorted([("1", "response", "", len(noise))] * 2 + [("2", "response", "", 1)] * 2 + [("3", "revisit", "2", 1), ("4", "response", "", 0)])
 
 
 # Sharding
