@@ -451,19 +451,30 @@ def test_licences(spark, docs, empty):
 
 
 def test_url_rules(spark, monkeypatch):
-    urls = ["http://a.example.org/es/x", "https://example.org/en/12?q#f", "http://org/", "http://xorg/", "http://x.com/de/", "http://x.com/fr/de/", "HTTP://A.COM/de/a", "http://ads.net/banner/1", "nothing", "", None, "http://host", "a://b?c://org/", "http://ads.net/banner/1"]
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
-    rules = [*url_rules.RULES, url_rules.Rule("block", pattern=r"^[^/]*ads\.[a-z]+/.*banner", tokens=("p:banner",)), url_rules.Rule("block", path="/nowhere")]
-    want = [("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "org/"), ("allow", None), ("block", "com/de/"), ("allow", "com/fr/"), ("block", "com/de/"), ("block", r"^[^/]*ads\.[a-z]+/.*banner"), ("allow", None), ("allow", None), ("allow", None), ("allow", None), ("allow", None), ("block", r"^[^/]*ads\.[a-z]+/.*banner")]
+    urls = ["http://a.example.org/es/x", "https://example.org/en/12?q#f", "http://org/", "http://xorg/", "http://x.com/de/", "http://x.com/fr/de/", "HTTP://A.COM/de/a", "http://ads.net/banner/1", "nothing", "", None, "http://host", "a://b?c://org/", "http://ads.net/banner/1", "http://my-casino.example.com/de/x", "http://my-casino.net/x", "http://x.net/" + "a/" * 50_000 + "file.exe", "http://tie.net/"]
+    pages = spark.createDataFrame([(i, u, "clash", "clash", {"a": "b"}) for i, u in enumerate(urls)], "page_id long, url string, verdict string, _site string, labels map<string,string>")
+    banner = r"^[^/]*ads\.[a-z]+/.*banner"
+    rules = [*url_rules.RULES, *url_rules.PATTERNS, url_rules.Rule("block", pattern=banner, tokens=("banner",)), url_rules.Rule("block", path="/nowhere"), url_rules.Rule("allow", pattern="tie.n"), url_rules.Rule("block", pattern="tie.."), url_rules.Rule("block", path="Xorg")]
+    want = [("block", "example.org/es/", None), ("block", "example.org/en/1", None), ("allow", "org/", None), ("allow", None, None), ("block", "com/de/", None), ("allow", "com/fr/", None), ("block", "com/de/", None), ("block", None, banner)]
+    want += [("allow", None, None)] * 5 + [("block", None, banner), ("block", "com/de/", None), ("block", None, "^([^/]*[.-])?casino[.-]"), ("block", None, r"\.exe$"), ("block", None, "tie..")]
     for inline in (2000, 0):
         monkeypatch.setattr(url_rules, "INLINE_RULES", inline)
         rows = url_rules.judged(pages, rules).orderBy("page_id").collect()
-        assert [(r["verdict"], r["rule"]) for r in rows] == want
+        assert [(r["verdict"], r["rule"], r["pattern"]) for r in rows] == want
+        assert all(r["_site"] == "clash" and r["labels"] == {"a": "b"} for r in rows)
         assert url_rules.judged(pages.limit(0), rules).count() == 0
         assert url_rules.judged(pages.unionByName(pages), rules).count() == 2 * len(urls)
+        assert {r["verdict"] for r in url_rules.judged(pages, []).collect()} == {"allow"}
     assert (rows[6]["host"], rows[6]["path"]) == ("a.com", "/de/a") and (rows[10]["host"], rows[10]["path"]) == ("", "")
 
 
+def test_url_tokens_are_in_every_match():
+    for r in [*url_rules.RULES, *url_rules.PATTERNS]:
+        for whole in ("a.example.org/es/x", "my-casino.example.com/x.exe", "b.com/de/login/wp-admin/tag", "pills.gov.uk/search"):
+            if re.search(r.regex, whole):
+                assert set(r.literals) <= set(re.findall("[a-z0-9]+", whole))
+
+
 def test_personal_data_numbers_of_any_length():
     plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     rnd = random.Random(8)
