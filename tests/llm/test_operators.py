@@ -124,7 +124,23 @@ def test_sharding_by_rows(spark, docs, empty, tmp_path):
     assert order == sorted(order)
     assert sharding.sharded(empty, 8).count() == 0
     sharding.write_shards(docs, 4, f"file://{tmp_path}/s")
-    assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(rows)
+    found = spark.read.parquet(f"file://{tmp_path}/s")
+    assert found.count() == len(rows) and found.drop("shard_").columns == docs.columns
+    assert found.where("doc_id = 5").select("shard", "size").collect() == [("clash", "clash")]
+
+
+def test_shards_are_skipped_in_several_dimensions(spark, tmp_path):
+    rnd = random.Random(7)
+    rows = [(i, "x" * int(2 ** rnd.uniform(0, 14)), rnd.choice(["de", "en", "es", "fr"]), f"src{rnd.randrange(20)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    starts = sharding.cell_starts(docs, "source", 16)
+    assert 8 < len(starts) <= 16 and starts == sorted(starts) and [n for _, n in starts] == sorted(n for _, n in starts)
+    sharding.write_shards(docs.withColumn("n", F.length("text")), 8, f"file://{tmp_path}/s", file_rows=100)
+    files = spark.read.parquet(f"file://{tmp_path}/s").groupBy(F.input_file_name()).agg(*[f(c).alias(f"{g}_{c}") for c in ("lang", "source", "n") for f, g in ((F.min, "low"), (F.max, "high"))]).collect()
+    assert 50 <= len(files) <= 90
+    for column, values in (("lang", ["de", "en", "es", "fr"]), ("source", [f"src{i}" for i in range(20)]), ("n", [10, 100, 1000, 10_000])):
+        read = [sum(f[f"low_{column}"] <= v <= f[f"high_{column}"] for f in files) / len(files) for v in values]
+        assert sum(read) / len(read) < 0.55, (column, read)
 
 
 # Quality rules
