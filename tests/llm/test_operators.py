@@ -455,8 +455,16 @@ def test_viterbi_is_the_best_path():
 def test_licences(spark, docs, empty):
     model = license_scan.trained()
     held = [(t, c) for t, c in license_scan.samples(20, 91) if c != "unknown"]
-    right = sum(model.judge(license_scan.words(t))[0] == c for t, c in held)
-    assert right / len(held) > 0.9
+    judged = model.judge([license_scan.words(t) for t, _ in held])
+    assert sum(f == c for (f, _), (_, c) in zip(judged, held)) / len(held) > 0.9
+    # Strange licences that neither training nor calibration has seen: seldom taken for a family, mostly unknown.
+    strange = ["Licensed under the Willow Permissive License, version 2.", "This work is licensed under the terms of the Granite Open Agreement.", "Released under the Heron Software License 3.1.", "Use of this program is subject to the Juniper Public Terms."]
+    judged = [f for f, _ in model.judge([license_scan.words(t) for t, c in license_scan.samples(30, 92, others=strange) if c == "unknown"])]
+    assert sum(f in license_scan.TEMPLATES for f in judged) / len(judged) < 0.1
+    assert sum(f == "unknown" for f in judged) / len(judged) > 0.6
+    long = "filler words\n" * 20_000 + "Released under the MIT License.\n" + "\n\nmore\n" * 5000
+    assert [(i, f) for i, f, _ in license_scan.scan(long, model)[1]] == [(20_000, "mit")]
+    assert license_scan.scanned(["", "Released under the MIT License.", "x", "Released under the MIT License."], model)[1::2] == [license_scan.scan("Released under the MIT License.", model)] * 2
     n, hits = license_scan.scan("Some text of a page\n\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nthe end", model)
     assert n == 4 and [(i, f) for i, f, _ in hits] == [(1, "apache"), (2, "mit")]
     assert license_scan.found(docs).where("n_licensed > 0").count() == 0
