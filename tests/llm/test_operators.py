@@ -200,7 +200,10 @@ def _components(sets, percent):
 def test_jaccard_components(spark, empty, monkeypatch, words, percent, heavy):
     monkeypatch.setattr(jaccard_join, "HEAVY_COUNT", heavy)  # 2: most groups go through the heavy lists
     monkeypatch.setattr(jaccard_join, "BLOCK_ALL", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_PIVOT", 6)
     monkeypatch.setattr(jaccard_join, "BLOCK_SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "LONG", 5)
+    monkeypatch.setattr(jaccard_join, "PACK_TOKENS", 500)
     rnd = random.Random(words)
     texts = list(TEXTS)
     for size in (30, 12, 3):
@@ -221,6 +224,37 @@ def test_jaccard_components(spark, empty, monkeypatch, words, percent, heavy):
     assert jaccard_join.deduplicated(empty, words, percent).count() == 0
 
 
+def _near_copies(n, rnd):
+    base = _text(150).split()
+    out = []
+    for _ in range(n):
+        own = list(base)
+        own[rnd.randrange(len(own))] = rnd.choice(VOCAB)
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("most", "dealt", "pairs_each"), [(1 << 19, (1, 4, 255), 4), (0, (60,), 20)])
+def test_a_long_list_is_not_paired_however_rows_are_dealt(spark, monkeypatch, most, dealt, pairs_each):
+    """``most`` 0: no token is known to be frequent, so lists turn out to be long after the shuffle."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", most)
+    rnd = random.Random(9)
+    texts = _near_copies(240, rnd) + [_text(60) for _ in range(10)] + [" ".join([_text(40), TEXTS[7]]) for _ in range(5)] + [_text(30_000)]
+    texts.append(texts[-1] + " end")
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)]
+    sets = _sets(texts, 3)
+    want = _components(sets, 90)
+    best = {c: min(i for i, x in enumerate(want) if x == c and i != 3) for c in want}
+    met, plain = [], jaccard_join.light_pairs
+    monkeypatch.setattr(jaccard_join, "light_pairs", lambda *a: met.append(plain(*a)) or met[-1])
+    for parts in dealt:
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = jaccard_join.clustered(df, 3, 90).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((i, len(sets[n]), best[want[n]]) for n, (i, _) in enumerate(rows))
+        pairs = met[-1].where("orders > 0").select("a", "b").distinct().count()
+        assert pairs < pairs_each * len(texts)
+
+
 def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}
