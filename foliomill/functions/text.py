@@ -9,7 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tokens that name a field in Hindi, Gujarati and English writing, longest first when applied.
-KEYWORDS = {"मॉडल": "model", "मोडेल": "model", "મોડેલ": "model", "मॉडेल": "model", "अश्वशक्ति": "hp", "एचपी": "hp", "એચપી": "hp", "हॉर्स पावर": "hp", "हार्स पावर": "hp", "horsepower": "hp", "horse power": "hp", "कुल": "total", "कुल योग": "total", "કુલ": "total", "grand total": "total", "राशि": "amount", "रकम": "amount", "રકમ": "amount", "मूल्य": "amount", "कीमत": "amount"}
+KEYWORDS = {
+    "मॉडल": "model",
+    "माडल": "model",
+    "मोडल": "model",
+    "મોડલ": "model",
+    "મોડેલ": "model",
+    "एचपी": "hp",
+    "एच.पी": "hp",
+    "એચપી": "hp",
+    "એચ.પી": "hp",
+    "હોર્સ પાવર": "hp",
+    "હૉર્સ પાવર": "hp",
+    "horse power": "hp",
+    "horsepower": "hp",
+    "राशि": "amount",
+    "कुल": "total",
+    "कुल राशि": "total",
+    "कुल रकम": "total",
+    "किंमत": "amount",
+    "કુલ": "total",
+    "રકમ": "amount",
+    "કિંમત": "amount",
+    "ટોટલ": "total",
+}
 INDIC_DIGITS, DIGITS = "०१२३४५६७८९૦૧૨૩૪૫૬૭૮૯", "01234567890123456789"
 #: Number words of prices.
 ONES = dict(zip("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(1, 20), strict=True))
@@ -26,7 +49,8 @@ def normalize_name(x: Column) -> Column:
 
 
 def normalize_keywords(x: Column) -> Column:
-    return reduce(lambda c, k: F.regexp_replace(c, "(?i)" + k, KEYWORDS[k]), sorted(KEYWORDS, key=lambda k: (-len(k), k)), x)
+    """Field names in one writing, spaces collapsed; of equally long tokens the one listed first goes first."""
+    return reduce(lambda c, k: F.regexp_replace(c, "(?iu)" + k.replace(".", r"\."), KEYWORDS[k]), sorted(KEYWORDS, key=len, reverse=True), normalize_spaces(x))
 
 
 def ascii_digits(x: Column) -> Column:
@@ -44,7 +68,7 @@ def strip_currency(x: Column) -> Column:
 
 def parse_hp(x: Column) -> Column:
     """The first horsepower figure of 1 to 300."""
-    found = F.regexp_extract(normalize_keywords(ascii_digits(x)), r"(?i)([0-9]{1,3})\s*(?:h\.?\s?p\.?)", 1)
+    found = F.regexp_extract(normalize_keywords(ascii_digits(x)), r"(?i)([0-9]{1,3})\s*(?:h\.?\s*p\.?|horse\s*power|एच\.?\s*पी\.?|હો\.?\s*પી\.?)", 1)
     n = found.try_cast("int")
     return F.when(n.between(1, 300), n)
 
@@ -71,11 +95,11 @@ def label_value(x: Column) -> Column:
 
 def is_stamp(x: Column) -> Column:
     low = F.lower(x)
-    return low.rlike(r"\b(stamp|seal|मुहर|મુદ્રા)\b") & ~low.contains("stamp duty")
+    return low.rlike(r"\b(stamp|seal|rubber\s+stamp|company\s+seal)\b") & ~low.contains("stamp duty")
 
 
 def is_signature(x: Column) -> Column:
-    return F.lower(x).rlike(r"signatory|\bsd/|\bsigned\b|signature of (the )?beneficiary")
+    return F.lower(x).rlike(r"\bauthori[sz]ed\s+signatory\b|\bsd/\b|\bsigned\b|\bsignature\s+of\s+(the\s+)?(beneficiary|customer|purchaser|receiver)\b")
 
 
 def language(x: Column) -> Column:

@@ -65,7 +65,7 @@ def cost_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every model of the parts, in order of its first part; the SQL for DuckDB has those of even parts only."""
+    """Every model of the parts, in order of its first part."""
     return run_sql(spark, sf_dir, "SELECT concat(p_brand, ' ', p_type, ' ', cast(p_size AS VARCHAR(9))) AS name, min(p_partkey) AS place FROM part GROUP BY 1")
 
 
@@ -197,7 +197,7 @@ ORACLE_SQL: dict[str, str] = {
   JOIN pg t ON (t.doc_id, t.page_index, t.region) = (b.doc_id, b.page_index, 'table') JOIN pg h ON (h.doc_id, h.page_index, h.region) = (b.doc_id, b.page_index, 'header') JOIN pg f ON (f.doc_id, f.page_index, f.region) = (b.doc_id, b.page_index, 'footer')""",
     "hp_by_region": f"{DUCK}, {_HP} SELECT * FROM hp",
     "cost_by_region": f"{DUCK}, {_COST} SELECT * FROM cost",
-    "model_by_region": f"""{DUCK}, names AS (SELECT concat(p_brand, ' ', p_type, ' ', p_size) AS name, min(p_partkey) AS place FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+    "model_by_region": f"""{DUCK}, names AS (SELECT concat(p_brand, ' ', p_type, ' ', p_size) AS name, min(p_partkey) AS place FROM part GROUP BY 1),
 hits AS (SELECT doc_id, region, page_index, line_no, avg_conf, region_conf, name AS value, 0.98e0 AS rule, 1 AS stage, place FROM reg JOIN names ON contains(lower(text), lower(name)) UNION ALL
   SELECT doc_id, region, page_index, line_no, avg_conf, region_conf, trim(regexp_replace(regexp_extract(text, '[:-](.*)$', 1), '\\s+', ' ', 'g')), 0.55e0, 2, 0 FROM reg WHERE regexp_matches(text, '(?i)\\bmodel\\b') AND trim(regexp_extract(text, '[:-](.*)$', 1)) <> '')
 SELECT doc_id, value, round(avg_conf * rule * {_TABLE} * region_conf, 4) AS conf, region FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, list_position(['table', 'body', 'header', 'footer'], region), page_index, line_no, place) AS rn FROM hits) WHERE rn = 1""",

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from foliomill.functions import fuzzy
-from foliomill.operators import fields, matching
+from foliomill.operators import evaluation, fields, matching
 from foliomill.plans import catalog
 from foliomill.plans.corpus import BASE
 from foliomill.plans.sql import run_sql
@@ -58,16 +60,40 @@ def test_dealer_search_finds_misread_names(spark):
 
 def test_best_threshold_tries_all(spark):
     df = run_sql(spark, SF, BASE + " SELECT c.confidence, d.ok FROM conf c JOIN (SELECT doc_id, min(CASE WHEN ok = false THEN 0 ELSE 1 END) AS ok FROM judged GROUP BY doc_id) d ON c.doc_id = d.doc_id").collect()
-    rows = [(round(r["confidence"] * 10000), r["ok"]) for r in df]
-    best = None
+    best, tried = None, 0
     for k in range(40, 96):
-        tp, fp = sum(ok for c, ok in rows if c >= k * 100), sum(1 - ok for c, ok in rows if c >= k * 100)
-        fn = sum(ok for c, ok in rows if c < k * 100)
-        f1 = 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0
-        best = min(best or (9,), (-round(f1, 9), -tp, fn, k, fp))
+        review = [(r["confidence"] * 100 < k - 1e-6, r["ok"] == 0) for r in df]
+        tp, fp, fn = review.count((True, True)), review.count((True, False)), review.count((False, True))
+        tn = len(review) - tp - fp - fn
+        p, r = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
+        key = (2 * p * r / (p + r) if p + r else 0.0, r, -(fp / (fp + tn) if fp + tn else 0.0))
+        tried += 1
+        if best is None or key > best[0]:
+            best = (key, k / 100, tp, fp, fn, tn)
     got = catalog.QUERIES["best_threshold"](spark, SF).collect()
-    assert [(r["k"], r["tp"], r["fp"], r["fn"]) for r in got] == [(best[3], -best[1], best[4], best[2])]
-    assert "sequence(40L, 95L)" in catalog._statement("best_threshold", True)
+    assert [(r["threshold"], r["tp"], r["fp"], r["fn"], r["tn"]) for r in got] == [best[1:]]
+    assert catalog.QUERIES["threshold_sweep"](spark, SF).count() == tried == 56
+
+
+def test_evaluation_by_hand(spark):
+    """Values worked out by hand from the rules."""
+    rows = spark.createDataFrame([(0.30, True), (0.50, False), (0.5001, False), (0.90, True)], "confidence double, good boolean")
+    at = {r["threshold"]: r for r in evaluation.threshold_trials(rows).collect()}
+    assert [at[0.5][c] for c in ("tp", "fp", "fn", "tn", "prec", "recall", "f1", "false_review_rate", "missed_bad_rate")] == [0, 1, 2, 1, 0.0, 0.0, 0.0, 0.5, 1.0]
+    assert [at[0.51][c] for c in ("tp", "fp", "fn", "tn", "prec", "recall", "false_review_rate", "missed_bad_rate")] == [2, 1, 0, 1, 2 / 3, 1.0, 0.5, 0.0]
+    assert evaluation.best_trial(evaluation.threshold_trials(rows)).first()["threshold"] == 0.51
+    df = spark.createDataFrame([(9, 40), (126, 40), (126, 200), (None, 40), (None, None), (10, 40), (125, 40), (5, None)], "v int, f int")
+    assert [r[0] for r in df.select(evaluation.plausible(F.col("v"), F.col("f"), 10, 125)).collect()] == [40, 40, None, 40, None, 10, 125, None]
+    assert [r[0] for r in df.limit(3).select(evaluation.plausible(F.col("v") * 100, F.col("f") * 1000, 10000)).collect()] == [40000, 12600, 12600]
+    runs = spark.createDataFrame([(False, True, 9, 0.1, 0, True, False, 3), (True, True, 0, None, 5, False, False, 0), (True, True, 0, 0.55, 0, True, False, 0), (True, True, 0, 0.9, 4, True, False, 2), (True, True, 0, 0.9, 4, True, True, 2), (True, True, 0, 0.9, 4, False, False, 0)], "a boolean, b boolean, c int, d double, e int, f boolean, g boolean, h int")
+    assert [r[0] for r in runs.select(evaluation.failure_category(*[F.col(x) for x in "abcdefgh"])).collect()] == ["Validation", "OCR", "Layout", "Vision", "Extraction", "OK"]
+    schema = "doc_id long, kind string, dealer string, model string, hp int, cost long, signature boolean, stamp boolean, confidence double"
+    clean = spark.createDataFrame([(1, None, "ABC (Pvt.) Ltd", None, 45, 500000, True, False, 0.9), (2, None, "X", "M", None, 1, True, True, 0.5)], schema).drop("kind")
+    noisy = spark.createDataFrame([(1, "blur", " abc pvt ltd", "", 47, 501000, True, False, 0.8), (2, "blur", "X", "N", None, 1, True, True, 0.5), (1, "jpeg", "ABD", "m", 48, 501001, False, None, 0.9)], schema)
+    assert {tuple(r) for r in evaluation.robustness(clean, noisy).collect()} == {("blur", round(1 / 6, 6), 0.05, 2), ("jpeg", 1.0, 0.0, 1)}
+    trials = evaluation.grid(spark).collect()
+    assert len(trials) == 900 and sorted(r["trial"] for r in trials) == list(range(900))
+    assert {r["trial"]: tuple(r)[1:] for r in trials}[899] == (95, "TTT+TFT", "footer", 0.3, 0.6)
 
 
 def test_model_by_region_lists_all_models(spark):
