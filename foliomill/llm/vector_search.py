@@ -36,7 +36,7 @@ from foliomill.llm.shared import filesystem, shared_dir, stored
 
 SCALE = 1024
 QUERY_BLOCK = 1024
-CELLS = 64
+CELLS = 256
 #: Vectors in a file, and bytes of vectors that a task holds while it looks for copies.
 FILE_ROWS, HELD_BYTES = 1 << 16, 32 << 20
 #: Files that a unit scans against a block.
