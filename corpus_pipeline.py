@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("personal data", personal), ("mixing", mix), ("packing", pack)]
 
-#: Training, decoding and packing have no SQL; tests/llm compare the pipeline with brute force.
+#: Training, decoding and packing have no SQL; test_pipeline_against_plain_loops in tests/llm compares all stages with plain loops.
 ORACLE_SQL = None
 
 
