@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
 from foliomill.operators import fields, layout, matching
-from foliomill.plans import evaluation, forms
+from foliomill.plans import evaluation, forms, scans
 from foliomill.plans.corpus import BASE
 from foliomill.plans.sql import TABLES, run_sql
 
@@ -173,5 +173,5 @@ def dealer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(best, "line_id", "left").select(F.col("text").alias("dealer"), "name", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | forms.QUERIES | evaluation.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "model_first_match": model_first_match, "dealer_match": dealer_match}
-ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | forms.ORACLE_SQL | {name: re.sub(r"VARCHAR\(\d+\)", "VARCHAR", sql) for name, sql in evaluation.ORACLE_SQL.items()} | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | T.QUERIES | forms.QUERIES | evaluation.QUERIES | scans.QUERIES | {"lines_from_words": lines_from_words, "line_values": line_values, "amount_words": amount_words, "model_first_match": model_first_match, "dealer_match": dealer_match}
+ORACLE_SQL: dict[str, str] = {name: _statement(name, False) for name in STATEMENTS} | T.ORACLE_SQL | forms.ORACLE_SQL | scans.ORACLE_SQL | {name: re.sub(r"VARCHAR\(\d+\)", "VARCHAR", sql) for name, sql in evaluation.ORACLE_SQL.items()} | {"lines_from_words": _LINES_SQL, "line_values": _LINE_VALUES_SQL, "amount_words": "SELECT p_partkey, cast((p_partkey % 99 + 1) * 100000 + (p_partkey % 97 + 1) * 1000 AS BIGINT) AS amount FROM part"}

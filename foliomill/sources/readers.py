@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,93 @@ def first_list(*lists: DataFrame) -> DataFrame:
     every = reduce(DataFrame.unionByName, ranked)
     first = every.agg(F.min("rank").alias("rank"))  # one row
     return every.join(F.broadcast(first), "rank").select("name", "place")
+
+
+# Files, and what recognisers give. Spark's scan passes over files of no bytes, so none of the listings has them.
+
+
+def discovered(spark: SparkSession, path: str, ending: str = ".pdf", any_case: bool = True) -> DataFrame:
+    """(path, length) of a file, of all files below a folder or that a pattern matches, by their ending, in order; contents aren't read.
+
+    A path that matches nothing is an error; files of no bytes are left out.
+    """
+    end = F.lower("path").endswith(ending.lower()) if any_case else F.col("path").endswith(ending)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return df.where(end).select("path", "length").orderBy("path")
+
+
+def other_files(spark: SparkSession, path: str, ending: str = ".png") -> DataFrame:
+    """(path, length) of files below a folder with another ending, in order."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return df.where(~F.lower("path").endswith(ending.lower())).select("path", "length").orderBy("path")
+
+
+#: Endings of images that become pages.
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, is_image) of all files below a folder: which of them can become pages."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return df.select("path", "length", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*IMAGES).alias("is_image"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of all files below a folder."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return df.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def config(spark: SparkSession, *paths: str) -> dict:
+    """The first of the paths that holds a JSON object; missing and broken ones are passed over, without any it is empty."""
+    for path in paths:
+        try:
+            row = spark.read.text(path, wholetext=True).head()
+            found = json.loads(row["value"]) if row else None
+        except (AnalysisException, ValueError):
+            continue
+        if isinstance(found, dict):
+            return found
+    return {}
+
+
+def digital_words(words: DataFrame, conf: float = 0.95) -> DataFrame:
+    """(text, x1, y1, x2, y2, ...) of a page with digital text -> words with four corners and a fixed confidence; blank ones go."""
+    corner = lambda x, y: F.array(F.col(x).cast("double"), F.col(y).cast("double"))
+    box = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))
+    return words.where(F.trim("text") != "").withColumn("text", F.trim("text")).withColumn("box", box).withColumn("conf", F.lit(conf)).drop("x1", "y1", "x2", "y2")
+
+
+def recognised(pages: DataFrame) -> DataFrame:
+    """(page_id, result: a recogniser's output as JSON) -> words (page_id, word_no, text, box as JSON, conf).
+
+    Lines are [box, [text, conf]] or objects with text, score or conf, bbox or box; a list in a list of one is taken out of
+    it. Lines without a text, or with a confidence that is no number, are skipped; a missing confidence is 0.
+    """
+    cells = lambda x: F.from_json(x, "array<string>")
+    items = cells(F.col("result"))
+    items = F.when((F.size(items) == 1) & F.get(items, F.lit(0)).startswith("["), cells(F.get(items, F.lit(0)))).otherwise(items)
+    lines = pages.select("page_id", F.posexplode(items).alias("word_no", "line")).where("line is not null")
+    at = lambda c, i: F.get(c, F.lit(i))
+    key = lambda k: F.get_json_object("line", f"$.{k}")
+    listed, named = F.col("line").startswith("["), F.col("line").startswith("{")
+    pair = F.when(at(cells(F.col("line")), 1).startswith("["), cells(at(cells(F.col("line")), 1)))
+    pair = F.when(F.size(pair) >= 2, pair)
+    zero = lambda x: F.when(x.try_cast("double") != 0, x)
+    score = F.coalesce(F.when(key("score").try_cast("double").isNull(), F.nullif(key("score"), F.lit(""))), zero(key("score")), key("conf"))
+    rows = lines.select(
+        "page_id",
+        "word_no",
+        F.when(listed, at(pair, 0)).when(named, key("text")).alias("text"),
+        F.when(listed, at(cells(F.col("line")), 0)).when(named, F.coalesce(key("bbox"), key("box"))).alias("box"),
+        F.when(listed, at(pair, 1)).when(named, score).alias("raw"),
+    ).where("text is not null")
+    conf = F.when(F.coalesce(F.col("raw"), F.lit("")) == "", 0.0).otherwise(F.col("raw").try_cast("double"))
+    return rows.withColumn("conf", conf).where("conf is not null").drop("raw")
+
+
+def box_of_points(points: Column) -> Column:
+    """Four points -> (x1, y1, x2, y2) as whole numbers, cut towards zero; null for another number of points."""
+    along = lambda i: F.transform(points, lambda p: F.get(p, F.lit(i)))
+    ends = F.struct(*[f(along(i)).cast("int").alias(n) for n, f, i in (("x1", F.array_min, 0), ("y1", F.array_min, 1), ("x2", F.array_max, 0), ("y2", F.array_max, 1))])
+    return F.when(F.size(points) == 4, ends)
