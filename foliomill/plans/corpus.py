@@ -7,6 +7,8 @@ remainders, so that every branch of the extraction is met.
 
 from __future__ import annotations
 
+import re
+
 #: First item of each order by its whole key, as (l_orderkey, l_linenumber) repeats.
 ITEMS = """
 items AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity,
@@ -55,3 +57,26 @@ runs AS (SELECT event_id AS doc_id, user_id, event_type AS stage, value AS laten
   1 + event_id % 3 AS pages, event_id % 17 AS failures, (event_id % 100) / 100.0e0 AS conf FROM events)
 """
 BASE = "WITH " + ITEMS.strip() + ", " + FOUND.strip()
+
+#: Spark's spellings of two of the corpus' tables. A branch of a union reads its tables for itself, so a document's lines come from one array, and
+#: the first item is the least one, which is aggregated before it is shuffled, where a window would sort all items.
+_FIRST = """(SELECT f.l_orderkey, f.i.l_partkey, f.i.l_suppkey FROM (SELECT l_orderkey, min(struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus)) AS i FROM lineitem GROUP BY l_orderkey) f) i"""
+_ONE_PASS = """lines AS (
+  SELECT doc_id, l.line_no, l.text FROM truth LATERAL VIEW inline(array_compact(array(
+    named_struct('line_no', 0, 'text', coalesce(dealer, 'Estimate')),
+    named_struct('line_no', 1, 'text', CASE WHEN doc_id % 7 = 0 THEN coalesce(dealer, '') ELSE concat('Dealer: ', coalesce(dealer, 'unknown')) END),
+    named_struct('line_no', 2, 'text', concat(CASE WHEN doc_id % 5 = 0 THEN 'Model - ' ELSE 'Model: ' END, coalesce(model, ''))),
+    named_struct('line_no', 3, 'text', CASE WHEN hp IS NULL THEN 'Horse Power: n/a' WHEN doc_id % 13 = 0 THEN concat('Power ', cast(hp * 10 AS VARCHAR(9)), ' HP') ELSE concat('Horse Power: ', cast(hp AS VARCHAR(9)), ' H.P.') END),
+    named_struct('line_no', 4, 'text', 'Item Qty Rate Amount'),
+    named_struct('line_no', 90, 'text', CASE WHEN doc_id % 11 = 0 THEN 'Sub total pending' ELSE concat('Grand Total: Rs ', cast(cost AS VARCHAR(20))) END),
+    CASE WHEN doc_id % 3 = 1 THEN named_struct('line_no', 91, 'text', 'Ph: 9876501234') END,
+    CASE WHEN stamp THEN named_struct('line_no', 92, 'text', CASE WHEN doc_id % 6 = 0 THEN 'Stamp duty paid' ELSE 'Dealer seal (Stamp)' END) END,
+    CASE WHEN signature THEN named_struct('line_no', 93, 'text', CASE WHEN doc_id % 8 = 0 THEN 'Sd/ manager' ELSE 'Authorised signatory' END) END))) l AS line_no, text UNION ALL
+  SELECT l_orderkey, cast(4 + n AS INT), concat('Part ', cast(l_partkey AS VARCHAR(20)), ' ', cast(cast(l_quantity AS INT) AS VARCHAR(9)), ' ', cast(cast(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20))) FROM items)"""
+
+
+def spark_base(sql: str) -> str:
+    """A statement over the corpus as Spark runs it: the same rows, each of the given tables read fewer times."""
+    text = lambda x: re.sub(r"VARCHAR\(\d+\)", "STRING", x)
+    lines = ITEMS.strip()[ITEMS.strip().index("lines AS (") :]
+    return text(sql).replace(text(lines), text(_ONE_PASS)).replace("(SELECT * FROM items WHERE n = 1) i", _FIRST).replace("truth AS (SELECT ", "truth AS (SELECT /*+ SHUFFLE_MERGE(i) */ ")

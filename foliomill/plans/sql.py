@@ -6,12 +6,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliomill.plans.corpus import spark_base
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A statement over the given tables, read as it names them."""
-    sql = re.sub(r"VARCHAR\(\d+\)", "STRING", sql)
+    sql = spark_base(sql)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     sql = re.sub(r"\{([^}]*)\}", r"{{\1}}", sql)
     for t in used:
