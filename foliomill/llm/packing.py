@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.shared import ranked, stored
+from foliomill.llm.shared import ranked, release, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -173,6 +173,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        # A worker serves other steps next; what it knows of words is this task's.
+        encode.cache.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
