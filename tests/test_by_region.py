@@ -58,3 +58,13 @@ def test_figures_need_no_long_way_in_plain_text(spark):
     assert {r[0]: r[1] for r in df.select("x", T.parse_hp(F.col("x"))).collect()} == texts
     plain = spark.createDataFrame([("no field name here",)], "x string").select(T.normalize_keywords(F.col("x")).alias("k"))
     assert "RLIKE" in plain._jdf.queryExecution().optimizedPlan().toString()  # only texts beyond ASCII meet the other names
+
+
+def test_prices_need_no_window_over_all_lines(spark):
+    """The last page comes with the lines, from the pages' counts; lines from elsewhere still get it by a window."""
+    rows = [r for r in _rows() if r[0] is not None and r[1] is not None]
+    by = regions.by_region(spark.createDataFrame(rows, LINES))
+    plan = fields.asset_cost(by)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(doc_id" in plan and not re.search(r"max\(page_index#\d+\) windowspecdefinition", plan)
+    got, want = (sorted((tuple(r) for r in fields.asset_cost(x).collect()), key=repr) for x in (by, by.drop("last_page")))
+    assert got and got == want
